@@ -11,3 +11,21 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op9_quality_rules import quality_verdicts
 
     return quality_verdicts(table(spark, sf_dir, "documents"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op10_sharding import query
+
+    return query(spark, table(spark, sf_dir, "documents"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op8_mixing import query
+
+    return query(spark, table(spark, sf_dir, "documents"))
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op4_chat import query
+
+    return query(spark, table(spark, sf_dir, "conversations"))
