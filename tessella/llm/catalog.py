@@ -6,14 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op4_chat, op8_mixing
+from . import op3_line_dedup, op4_chat, op8_mixing
 from . import queries as q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_line_dedup": q.op3_line_dedup,
     "op4_chat": q.op4_chat,
     "op8_mixing": q.op8_mixing,
     "op10_sharding": q.op10_sharding,
     "op9_quality_rules": q.op9_quality_rules,
 }
 
-SQL: dict[str, str] = {"op4_chat": op4_chat.SQL, "op8_mixing": op8_mixing.SQL}
+SQL: dict[str, str] = {"op3_line_dedup": op3_line_dedup.SQL, "op4_chat": op4_chat.SQL, "op8_mixing": op8_mixing.SQL}

@@ -29,3 +29,9 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op4_chat import query
 
     return query(spark, table(spark, sf_dir, "conversations"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op3_line_dedup import query
+
+    return query(spark, table(spark, sf_dir, "documents"))
