@@ -35,3 +35,9 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op3_line_dedup import query
 
     return query(spark, table(spark, sf_dir, "documents"))
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op2_packing import query
+
+    return query(spark, table(spark, sf_dir, "documents"))
