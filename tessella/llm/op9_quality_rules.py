@@ -31,6 +31,8 @@ MAX_SHARE = 0.05
 MAX_LOST = 0.5
 #: Documents with removable lines that may be broadcast; about 100 bytes each.
 BROADCAST_ROWS = 200_000
+#: Lines above the limit that may be broadcast; about 30 bytes each.
+BROADCAST_LINES = 500_000
 
 SYMBOLS = r"[^#*$%&|<>]+"
 KEY = ["_host", "content_a", "content_b"]
@@ -86,17 +88,16 @@ def base_statistics(docs: DataFrame, text: str = "text", keep: list[str] | None
 
 
 def _host_lines(docs: DataFrame, text: str, host: str) -> DataFrame:
-    """(host, line hash, document content) with the words that the line has in it. Words of repeated rows add up on both sides of a share."""
-    line = F.explode(F.transform(_lines(F.col(text)), lambda x: F.struct(F.xxhash64(_normal(x)).alias("h"), F.size(words_of(x)).alias("w")))).alias("l")
-    rows = docs.select(F.col(host).alias("_host"), *content_key(F.col(text)), line)
-    return rows.where("l.w > 0").groupBy("_host", F.col("l.h").alias("line"), "content_a", "content_b").agg(F.sum("l.w").alias("words"))
+    """Distinct (host, line hash, document content) of lines with a word."""
+    hashes = F.transform(F.filter(F.transform(_lines(F.col(text)), _normal), lambda x: x != ""), lambda x: F.xxhash64(x))
+    rows = docs.select(F.col(host).alias("_host"), F.explode(F.array_distinct(hashes)).alias("line"), *content_key(F.col(text)))
+    return rows.distinct()
 
 
 def frequent_lines(docs: DataFrame, *, text: str = "text", host: str = "source", min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE) -> DataFrame:
     """(_host, line, documents): the lines that more distinct documents of a host hold than its limit,
     the larger of ``min_documents`` and ``max_share`` of the host's distinct documents."""
-    held = _host_lines(docs, text, host)
-    return _above(held, docs, text, host, min_documents, max_share)
+    return _above(_host_lines(docs, text, host), docs, text, host, min_documents, max_share)
 
 
 def _above(held: DataFrame, docs: DataFrame, text: str, host: str, min_documents: int, max_share: float) -> DataFrame:
@@ -106,28 +107,22 @@ def _above(held: DataFrame, docs: DataFrame, text: str, host: str, min_documents
     return counts.join(hosts, same).where(F.col("documents") > F.col("host_documents") * max_share).select(counts["_host"], "line", "documents")
 
 
-def _removals(docs: DataFrame, text: str, host: str, min_documents: int, max_share: float) -> DataFrame:
-    """For each (host, content) that holds a line above the limit: the hashes of those lines and the share of its words in them.
-
-    Repeated rows multiply both sides of the share alike.
-    """
-    held = _host_lines(docs, text, host)
-    bad = _above(held, docs, text, host, min_documents, max_share).select(F.col("_host").alias("h2"), F.col("line").alias("l2"))
-    marked = held.join(bad, held["_host"].eqNullSafe(bad["h2"]) & (held["line"] == bad["l2"]), "left").withColumn("over", F.col("l2").isNotNull())
-    sums = marked.groupBy(*KEY).agg(
-        F.sum("words").alias("all"), F.sum(F.when(F.col("over"), F.col("words"))).alias("lost"), F.collect_set(F.when(F.col("over"), F.col("line"))).alias("lines")
-    )
-    return sums.where(F.col("lost") > 0).select(*[F.col(k).alias(f"r{k}") for k in KEY], (F.col("lost") / F.col("all")).alias("_share"), F.col("lines").alias("_bad"))
-
-
 def _judged(docs: DataFrame, text: str, host: str, min_documents: int, max_share: float) -> DataFrame:
-    """``docs`` keyed by host and content, with _share and _bad (null where no line is above the limit).
+    """``docs`` with _bad, the hashes of its lines above the limit (null where none is), and _share, the share of its words in them.
 
-    The removals are written once; they are broadcast only while they are few, and joined by shuffle beyond that.
+    The lines above the limit and the documents that hold one are written once;
+    either is broadcast only while it is small, and joined by shuffle beyond that.
     """
-    few = Scratch(docs.sparkSession).keep(_removals(docs, text, host, min_documents, max_share))
+    scratch = Scratch(docs.sparkSession)
+    held = scratch.keep(_host_lines(docs, text, host))
+    bad = scratch.keep(_above(held, docs, text, host, min_documents, max_share).select(F.col("_host").alias("h2"), F.col("line").alias("l2")))
+    marked = held.join(broadcast_if(bad, BROADCAST_LINES), held["_host"].eqNullSafe(bad["h2"]) & (held["line"] == bad["l2"]), "left_semi")
+    few = scratch.keep(marked.groupBy(*[F.col(k).alias(f"r{k}") for k in KEY]).agg(F.collect_list("line").alias("_bad")))
     keyed = docs.select("*", F.col(host).alias("_host"), *content_key(F.col(text)))
-    return keyed.join(broadcast_if(few, BROADCAST_ROWS), [F.col(k).eqNullSafe(F.col(f"r{k}")) for k in KEY], "left")
+    joined = keyed.join(broadcast_if(few, BROADCAST_ROWS), [F.col(k).eqNullSafe(F.col(f"r{k}")) for k in KEY], "left")
+    gone = F.filter(_lines(F.col(text)), lambda x: F.array_contains("_bad", F.xxhash64(_normal(x))))
+    lost = F.size(words_of(F.array_join(gone, " "))) / F.size(words_of(F.col(text)))
+    return joined.withColumn("_share", F.when(F.col("_bad").isNotNull(), lost))
 
 
 def _failed(b: Column) -> Column:
