@@ -10,6 +10,7 @@ from . import op3_line_dedup, op4_chat, op8_mixing
 from . import queries as q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": q.op1_ngram_join,
     "op2_packing": q.op2_packing,
     "op3_line_dedup": q.op3_line_dedup,
     "op4_chat": q.op4_chat,

@@ -41,3 +41,9 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op2_packing import query
 
     return query(spark, table(spark, sf_dir, "documents"))
+
+
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op1_ngram_join import query
+
+    return query(spark, table(spark, sf_dir, "documents"))
