@@ -47,3 +47,9 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op1_ngram_join import query
 
     return query(spark, table(spark, sf_dir, "documents"))
+
+
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op7_embedding_dedup import query
+
+    return query(spark, table(spark, sf_dir, "embeddings"))
