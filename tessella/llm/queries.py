@@ -53,3 +53,9 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op7_embedding_dedup import query
 
     return query(spark, table(spark, sf_dir, "embeddings"))
+
+
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op5_html import query
+
+    return query(spark, table(spark, sf_dir, "pages"))
