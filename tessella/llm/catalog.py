@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": q.op3_line_dedup,
     "op4_chat": q.op4_chat,
     "op5_html": q.op5_html,
+    "op6_quality_classifier": q.op6_quality_classifier,
     "op7_embedding_dedup": q.op7_embedding_dedup,
     "op8_mixing": q.op8_mixing,
     "op10_sharding": q.op10_sharding,

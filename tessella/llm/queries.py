@@ -59,3 +59,9 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op5_html import query
 
     return query(spark, table(spark, sf_dir, "pages"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op6_quality_classifier import query
+
+    return query(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
