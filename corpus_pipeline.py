@@ -1,27 +1,56 @@
-"""Corpus pipeline: quality rules, line dedup, near-duplicate join, source mixing, packing."""
+"""Corpus pipeline: quality rules, line dedup, near-duplicate join, source mixing, packing.
+
+Every stage takes the documents that its predecessor kept; all but the last
+return the columns of ``documents``, with ``n_chars`` of the text as it is now.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tessella.llm import op1_ngram_join, op2_packing, op3_line_dedup, op8_mixing, op9_quality_rules
 from tessella.llm.common import Scratch, table
 
 
+def _measured(docs: DataFrame, columns: list[str]) -> DataFrame:
+    length = F.length("text").cast("long")
+    return docs.select(*[length.alias(c) if c == "n_chars" else F.col(c) for c in columns])
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass, without the lines that too many documents of their host share."""
-    from tessella.llm.op9_quality_rules import clean_documents
+    return _measured(op9_quality_rules.clean_documents(docs), docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Recurring template lines dropped; documents that consisted of nothing else go."""
+    rest = op3_line_dedup.dedup_lines(docs)
+    return _measured(rest.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")), docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one of smallest id."""
+    return op1_ngram_join.one_of_each(docs)
 
-    cleaned = clean_documents(docs)
-    return with_length(cleaned)
 
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated towards their source's target weight, in shuffled order."""
+    return op8_mixing.mix(docs).select(*docs.columns)
 
-def with_length(docs: DataFrame) -> DataFrame:
-    from pyspark.sql import functions as F
 
-    return docs.withColumn("n_chars", F.length("text").cast("long"))
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of full length."""
+    return op2_packing.pack_documents(docs)
 
 
-STAGES = [("quality rules", quality_rules)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", near_duplicates),
+    ("mixing sources to target weights", source_mixing),
+    ("best-fit packing", packing),
+]
 
 #: Tokenising and packing have no SQL form; the whole is tested against a brute-force version.
 ORACLE_SQL = None

@@ -28,6 +28,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def once(value: Column) -> Column:
+    """``value``, computed where it is defined.
+
+    Filters on it stay above: the optimiser does not push them through what it
+    takes for non-deterministic, and so does not compute ``value`` again below
+    for every mention of it.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANK), "")
 

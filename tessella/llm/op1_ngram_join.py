@@ -325,5 +325,16 @@ def similarity_components(docs: DataFrame, *, words: int = WORDS, percent: int =
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without those that a chain of links joins to a document of smaller id; rows that repeat a kept id with a linked text go, too."""
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.keep(similarity_components(docs, words=words, percent=percent, doc_id=doc_id, text=text))
+    goes = scratch.keep(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct())
+    kept = docs.join(broadcast_if(goes, BROADCAST_ROWS), docs[doc_id] == goes["_gone"], "left_anti")
+    if found.where("component_id = doc_id").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        kept = kept.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(kept.where(F.col(doc_id).isNull()))
+    return kept
+
+
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return similarity_components(docs, words=3, percent=90)

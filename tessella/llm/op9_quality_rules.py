@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, broadcast_if, content_key, let, words_of
+from .common import Scratch, broadcast_if, content_key, let, once, words_of
 
 #: Production limits.
 MIN_WORDS = 50
@@ -84,14 +84,15 @@ def base_statistics(docs: DataFrame, text: str = "text", keep: list[str] | None
         F.col("_dup_lines").cast("long").alias("n_dup_lines"),
         F.when(unlike, 0).otherwise(let(doubles, lambda d: _repeated(s, d))).cast("long").alias("n_repeat_words"),
     ]
-    return step.select(*own, F.struct(*counts).alias("_base"))
+    # A filter on the counts, pushed below them, would split the text again for each of its words.
+    return step.select(*own, once(F.struct(*counts)).alias("_base"))
 
 
 def _host_lines(docs: DataFrame, text: str, host: str) -> DataFrame:
     """Distinct (host, line hash, document content) of lines with a word."""
     hashes = F.transform(F.filter(F.transform(_lines(F.col(text)), _normal), lambda x: x != ""), lambda x: F.xxhash64(x))
-    rows = docs.select(F.col(host).alias("_host"), F.explode(F.array_distinct(hashes)).alias("line"), *content_key(F.col(text)))
-    return rows.distinct()
+    whole = docs.select(F.col(host).alias("_host"), F.array_distinct(hashes).alias("lines"), *content_key(F.col(text)))
+    return whole.select("_host", F.explode("lines").alias("line"), "content_a", "content_b").distinct()
 
 
 def frequent_lines(docs: DataFrame, *, text: str = "text", host: str = "source", min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE) -> DataFrame:
