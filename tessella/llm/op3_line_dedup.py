@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, broadcast_if, content_key, words_of
+from .common import BLANK, Scratch, broadcast_if, content_key, let, once
 
 MIN_TOKENS = 3
 #: Leading tokens in a path of the tree; with the token count its depth is one more.
@@ -39,20 +39,31 @@ FIELD = "<*>"
 KEY = ["content_a", "content_b"]
 
 
-def _masked(line: Column) -> Column:
-    return F.transform(words_of(F.lower(line)), lambda x: F.when(x.rlike("[0-9]"), FIELD).otherwise(x))
+def _normal(line: Column) -> Column:
+    """Lower case, tokens with a digit generalised, one space between tokens. Either replacement runs only on lines that need it."""
+    low = F.lower(line)
+
+    def masked(x: Column) -> Column:
+        return F.when(x.rlike("[0-9]"), F.regexp_replace(x, r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", FIELD)).otherwise(x)
+
+    def spaced(x: Column) -> Column:
+        return F.trim(F.when(x.rlike(r"[\x09-\x0D]|  "), F.regexp_replace(x, BLANK, " ")).otherwise(x))
+
+    return let(low, lambda x: let(masked(x), spaced))
 
 
 def _line_key(line: Column) -> Column:
-    return F.xxhash64(F.array_join(_masked(line), " "))
+    return F.xxhash64(_normal(line))
 
 
 def _parsed(docs: DataFrame, doc_id: str, text: str, min_tokens: int, leading: int) -> DataFrame:
-    """(id, content, leaf, line, tokens), one row for each line long enough."""
-    rows = docs.select(F.col(doc_id).alias("id"), *content_key(F.col(text)), F.explode(F.split(F.col(text), "\n")).alias("raw"))
-    rows = rows.select("id", *KEY, _masked(F.col("raw")).alias("tokens")).where(F.size("tokens") >= min_tokens)
-    lead = [F.get("tokens", F.lit(i)) for i in range(leading)]
-    return rows.select("id", *KEY, F.xxhash64(F.size("tokens"), *lead).alias("leaf"), F.xxhash64(F.array_join("tokens", " ")).alias("line"), "tokens")
+    """(id, content, leaf, line, normal), one row for each line long enough."""
+    whole = docs.select(F.col(doc_id).alias("id"), *content_key(F.col(text)), F.split(F.col(text), "\n").alias("lines"))
+    rows = whole.select("id", *KEY, F.explode("lines").alias("raw"))  # the keys are made before, once a document
+    rows = rows.select("id", *KEY, once(_normal(F.col("raw"))).alias("normal"))
+    count = F.length("normal") - F.length(F.replace("normal", F.lit(" "), F.lit(""))) + 1
+    rows = rows.withColumn("n", count).where(F.col("n") >= min_tokens)
+    return rows.select("id", *KEY, F.xxhash64("n", F.substring_index("normal", " ", leading)).alias("leaf"), F.xxhash64("normal").alias("line"), "normal")
 
 
 def _documents(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -65,10 +76,10 @@ def recurring_templates(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     scratch = scratch or Scratch(docs.sparkSession)
     rows = _parsed(docs, doc_id, text, min_tokens, leading)
     leaves = scratch.keep(_documents(rows, ["leaf"]).where(F.col("documents") >= min_documents).select("leaf"))
-    # A line's tokens travel once for each document that holds it, in recurring leaves only.
-    held = rows.join(broadcast_if(leaves, 1_000_000), "leaf", "left_semi").groupBy("leaf", "line", *KEY).agg(F.min("id").alias("id"), F.first("tokens").alias("tokens"))
+    # A line travels once for each document that holds it, in recurring leaves only.
+    held = rows.join(broadcast_if(leaves, 1_000_000), "leaf", "left_semi").groupBy("leaf", "line", *KEY).agg(F.min("id").alias("id"), F.first("normal").alias("normal"))
     held = scratch.keep(held)
-    lines = held.groupBy("leaf", "line").agg(F.count("*").alias("documents"), F.first("tokens").alias("tokens"))
+    lines = held.groupBy("leaf", "line").agg(F.count("*").alias("documents"), F.split(F.first("normal"), " ").alias("tokens"))
     spread = lines.select("leaf", "line", "documents", F.posexplode("tokens").alias("pos", "token"))
     common = spread.groupBy("leaf", "pos", "token").agg(F.sum("documents").alias("n")).where(F.col("n") >= min_documents).drop("n")
     fixed = spread.join(common.withColumn("fixed", F.lit(True)), ["leaf", "pos", "token"], "left")
@@ -79,7 +90,7 @@ def recurring_templates(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     )
     made = made.where(F.col("n_fixed") >= F.size("words") * min_fixed).select("leaf", "line", F.array_join("words", " ").alias("words"))
     made = made.withColumn("template", F.xxhash64("words"))
-    matched = scratch.keep(held.drop("tokens").join(made, ["leaf", "line"]))
+    matched = scratch.keep(held.drop("normal").join(made, ["leaf", "line"]))
     # The first of a template's documents, and with it the content that keeps its lines.
     first = matched.groupBy("leaf", "template").agg(F.min(F.struct("id", *KEY)).alias("first"), F.first("words").alias("words"))
     enough = _documents(matched, ["leaf", "template"]).where(F.col("documents") >= min_documents)
