@@ -15,8 +15,8 @@ BROADCAST_BYTES = 256 << 20
 REPLICATED_KEYS = 10_000
 
 
-def _broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    return F.broadcast(df) if estimated_bytes(df) <= limit else df.hint("merge")
+def _broadcast(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if estimated_bytes(df) <= BROADCAST_BYTES else df.hint("merge")
 
 
 def semi_filter(s: DataFrame, r: DataFrame, key: str | list[str]) -> DataFrame:
