@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op3_line_dedup, op4_chat, op8_mixing
+from . import op3_line_dedup, op4_chat, op8_mixing, op9_quality_rules
 from . import queries as q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -22,4 +22,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": q.op9_quality_rules,
 }
 
-SQL: dict[str, str] = {"op3_line_dedup": op3_line_dedup.SQL, "op4_chat": op4_chat.SQL, "op8_mixing": op8_mixing.SQL}
+SQL: dict[str, str] = {"op3_line_dedup": op3_line_dedup.SQL, "op4_chat": op4_chat.SQL, "op8_mixing": op8_mixing.SQL, "op9_quality_rules": op9_quality_rules.SQL}

@@ -18,7 +18,7 @@ Defined results
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, broadcast_if, content_key, let, once, words_of
@@ -145,3 +145,32 @@ def clean_documents(docs: DataFrame, *, text: str = "text", host: str = "source"
     left = F.array_join(F.filter(_lines(F.col(text)), lambda x: ~F.array_contains(F.col("_bad"), F.xxhash64(_normal(x)))), "\n")
     passed = rows.where(~_failed(F.col("_base")) & (F.coalesce("_share", F.lit(0.0)) <= max_lost))
     return passed.select(*[F.when(F.col("_bad").isNull(), F.col(c)).otherwise(left).alias(c) if c == text else F.col(c) for c in docs.columns])
+
+
+def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    return quality_verdicts(docs)
+
+
+SQL = rf"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+windows AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM d, unnest(range(1, len(w) - 1)) AS u(i)),
+doubles AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM windows) WHERE c > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM doubles, unnest([0, 1, 2]) AS u(o) GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, source, t, line, trim(lower(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')), ' ') AS normal
+  FROM (SELECT doc_id, source, t, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+repeats AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY doc_id),
+hosts AS (SELECT source, count(DISTINCT t) AS n FROM d GROUP BY source),
+bad AS (
+  SELECT l.source, l.normal FROM lines l JOIN hosts h ON l.source = h.source
+  GROUP BY l.source, l.normal, h.n HAVING count(DISTINCT l.t) > {MIN_DOCUMENTS} AND count(DISTINCT l.t) > h.n * {MAX_SHARE}),
+lost AS (SELECT l.doc_id, sum(len(list_filter(string_split(l.normal, ' '), lambda x: x <> ''))) AS n FROM lines l JOIN bad b ON l.source = b.source AND l.normal = b.normal GROUP BY l.doc_id),
+counts AS (
+  SELECT d.doc_id, len(w) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    coalesce(r.n, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, CASE WHEN l.n > 0 THEN CAST(l.n AS DOUBLE) / len(w) ELSE 0.0 END AS lost_share
+  FROM d LEFT JOIN repeats r ON d.doc_id = r.doc_id LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN lost l ON d.doc_id = l.doc_id)
+SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
+  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AND lost_share <= {MAX_LOST} AS kept
+FROM counts
+"""

@@ -8,9 +8,9 @@ from .common import table
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .op9_quality_rules import quality_verdicts
+    from .op9_quality_rules import query
 
-    return quality_verdicts(table(spark, sf_dir, "documents"))
+    return query(spark, table(spark, sf_dir, "documents"))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
