@@ -106,7 +106,7 @@ def theta(strategy: str):
 
 
 def theta_replicated(spark, sf_dir):
-    """Sizes of Brand parts against region keys scaled to sizes: few distinct keys on the left."""
+    """Part sizes, of which there are few, against nation keys."""
     r = _table(spark, sf_dir, "part").select("p_partkey", "p_size")
     return joins.theta_join(r, _table(spark, sf_dir, "nation").select("n_nationkey"), "p_size", "n_nationkey", "replicated")
 
