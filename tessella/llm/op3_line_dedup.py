@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK, Scratch, broadcast_if, content_key, let, once
+from .common import BLANK, Scratch, broadcast_if, content_key, let, once, words_of
 
 MIN_TOKENS = 3
 #: Leading tokens in a path of the tree; with the token count its depth is one more.
@@ -97,8 +97,12 @@ def recurring_templates(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     return first.join(enough, ["leaf", "template"]), matched.drop("words")
 
 
-def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_documents: int = MIN_DOCUMENTS, min_tokens: int = MIN_TOKENS, leading: int = LEADING, min_fixed: float = MIN_FIXED) -> DataFrame:
-    """``docs`` with recurring lines dropped from the text, and ``n_lines`` and ``n_dropped`` (replaced if present)."""
+def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_documents: int = MIN_DOCUMENTS, min_tokens: int = MIN_TOKENS, leading: int = LEADING, min_fixed: float = MIN_FIXED, max_lost: float = 1.0) -> DataFrame:
+    """``docs`` with recurring lines dropped from the text, and ``n_lines`` and ``n_dropped`` (replaced if present).
+
+    A document that would lose more than ``max_lost`` of its words keeps them all: below 1, near copies of one another
+    are left whole for a near-duplicate operator, instead of being cut down to the lines in which they differ.
+    """
     scratch = Scratch(docs.sparkSession)
     templates, lines = recurring_templates(docs, doc_id=doc_id, text=text, min_documents=min_documents, min_tokens=min_tokens, leading=leading, min_fixed=min_fixed, scratch=scratch)
     keep = templates.select("leaf", "template", F.col("first.content_a").alias("f_a"), F.col("first.content_b").alias("f_b"))
@@ -108,6 +112,9 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     joined = keyed.join(broadcast_if(drops, BROADCAST_ROWS), (F.col("_content_a") == F.col("d_a")) & (F.col("_content_b") == F.col("d_b")), "left")
     all_lines = F.split(F.col(text), "\n")
     left = F.filter(all_lines, lambda x: ~F.array_contains("_drop", _line_key(x)))
+    if max_lost < 1.0:
+        words = F.size(words_of(F.col(text)))
+        left = let(left, lambda x: F.when(words - F.size(words_of(F.array_join(x, " "))) <= words * max_lost, x).otherwise(all_lines))
     step = joined.withColumn("_left", F.when(F.col("_drop").isNotNull(), left))
     own = [F.when(F.col("_drop").isNull(), F.col(c)).otherwise(F.array_join("_left", "\n")).alias(c) if c == text else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
     n = F.coalesce(F.size(all_lines), F.lit(0))

@@ -75,6 +75,15 @@ def test_line_dedup_generalises_and_keeps_the_first(spark):
     assert not any(unlike.values())
 
 
+def test_line_dedup_leaves_copies_whole(spark):
+    lines = [f"line number {'abcdefgh'[j]} of a text that has near copies" for j in range(8)]
+    docs = [(i, "\n".join(lines[:i] + [f"changed here by copy {'abcdefgh'[i]} alone somehow"] + lines[i + 1 :]), "en", "s", 0) for i in range(8)]
+    docs += [(20 + i, lines[0] + "\n" + " ".join(f"w{i}x{j}" for j in range(40)), "en", "s", 0) for i in range(5)]
+    got = {r.doc_id: r for r in op3_line_dedup.dedup_lines(frame(spark, docs), max_lost=0.5).collect()}
+    assert all(got[i].n_dropped == 0 and got[i].text == docs[i][1] for i in range(8)) and all(got[20 + i].n_dropped == 1 for i in range(5))
+    assert op3_line_dedup.dedup_lines(frame(spark, docs)).where("doc_id = 3").first().n_dropped == 8  # what differs is a field of a template, too
+
+
 def test_line_dedup_defined_results(spark):
     docs = frame(spark, repeat=True)
     got = op3_line_dedup.dedup_lines(docs).collect()
