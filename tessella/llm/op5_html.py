@@ -53,6 +53,7 @@ MARKED = frozenset(
     "subscribe subscription signup login menu menus nav navbar navigation navigate breadcrumb breadcrumbs sidebar sidebars footer comment comments reply replies respond "
     "disqus discussion share sharing social related recommended recommendations widget toolbar pagination pager copyright masthead topbar skip search header".split()
 )
+STEMS = ("advert", "breadcrumb", "comment", "cookie", "disqus", "newsletter", "popup", "sidebar", "sponsor", "subscri")
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -88,7 +89,7 @@ def _marked(name: str, attributes: str, inside_article: bool) -> tuple[bool, boo
         key, value = key.lower(), value.strip("\"'")
         if key in ("class", "id"):
             words = {w.lower() for w in _TOKEN.findall(value)}
-            soft |= bool(words & MARKED) and not (inside_article and words & MARKED == {"header"})
+            soft |= any(w.startswith(STEMS) for w in words) or bool(words & MARKED) and not (inside_article and words & MARKED == {"header"})
         elif key == "role":
             soft |= value.lower() in ROLES
             main |= value.lower() == "main"

@@ -104,6 +104,7 @@ def test_local_search_empties_bins():
         ("<div class=\"cookie-notice\">We use cookies, please. Thanks.</div><div id=content><h1>Head</h1><p>Long text, with points. And more; yes.</p><p>s</p></div><div class='sidebar'><p>links, here. and there.</p></div>", "Head Long text, with points. And more; yes. s"),
         ("<script>var t='<p>no</p>';</script><style>p{}</style><main><p>yes<!-- no --></p><p>a < b</p></main>", "yes a < b"),
         ("<div><ul><li><a href=x>One</a><li><a href=y>Two</a></ul></div><div><p>Body of the text, here. It goes on, and on.</p></div>", "Body of the text, here. It goes on, and on."),
+        ("<article><p>Text.</p><ol class=commentlist><li>First, I say!</li></ol><div id=newsletterBox>Join us.</div></article>", "Text."),
         ("<article>un<b>brok</b>en <a href='x>y'>link</a></article>", "unbroken link"),
         ("<div class='with-sidebar'><article><p>inside</p></article></div>", "inside"),
     ],
