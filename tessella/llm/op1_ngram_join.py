@@ -19,10 +19,10 @@ Order of work, all on distributed tables:
    edges of a spanning forest come out. So a family of near copies is one
    component before candidates are counted, and pairs inside a component, which
    cannot change the result, are never made.
-3. candidate rounds as above. Documents whose allowance of extra prefix holds
-   too many hot shingles go to the next round among themselves, with their whole
-   sets and, from the third on, a limit eight times higher; the limit ends above
-   their number, so no link is lost.
+3. candidates as above. Documents whose allowance of extra prefix holds too many
+   hot shingles are tried again among themselves with their whole sets; those
+   still left, made of hot shingles almost entirely, are compared in blocks of
+   the lists of their prefixes, again without pairs coming out. No link is lost.
 4. exact verification of the candidates on whole texts, and components.
 
 Defined results
@@ -94,16 +94,20 @@ def _members(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _postings(docs: DataFrame, k: int, percent: int, extra: float | None, least: int) -> DataFrame:
-    """(sid, n, token, level): a shingle's level is the least l whose prefix holds it. ``extra`` None: of the whole set."""
+    """(sid, n, token, level): a shingle's level is the least l whose prefix holds it. ``extra`` None: of the whole set.
+    Where ``docs`` says which ``sid`` is meant, another text of a repeated id is left out."""
+    meant = "sid" in docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for lo in range(0, batch.num_rows, _SLICE):
                 sids, sizes, tokens, levels = [], [], [], []
-                for s in shingle_sets(_column(batch.slice(lo, _SLICE), "text"), k):
+                part = batch.slice(lo, _SLICE)
+                found = shingle_sets(_column(part, "text"), k)
+                for s, due in zip(found, _column(part, "sid").to_pylist() if meant else [None] * len(found), strict=True):
                     n = len(s)
-                    if n < least or (sid := _fingerprint(s)) in seen:
+                    if n < least or (sid := _fingerprint(s)) in seen or meant and sid != due:
                         continue
                     seen.add(sid)
                     need = (percent * n + 99) // 100
@@ -116,13 +120,13 @@ def _postings(docs: DataFrame, k: int, percent: int, extra: float | None, least:
                     count = [len(t) for t in tokens]
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(sids, count)), pa.array(np.repeat(np.array(sizes, np.int32), count)), pa.array(np.concatenate(tokens)), pa.array(np.concatenate(levels))], names=["sid", "n", "token", "level"])
 
-    return docs.select("text").mapInArrow(run, "sid long, n int, token long, level int")
+    return docs.select("text", *["sid"] * meant).mapInArrow(run, "sid long, n int, token long, level int")
 
 
-def _linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Matrix of the pairs whose Jaccard similarity is at least ``percent``."""
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """Matrix of the sizes of intersections."""
     g = len(sets)
-    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    sizes = [len(s) for s in sets]
     values, column = np.unique(np.concatenate(sets), return_inverse=True)
     row = np.repeat(np.arange(g), sizes)
     shared = np.bincount(column, minlength=len(values)) > 1
@@ -133,17 +137,32 @@ def _linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
     row, column = row[order], column[order]
     for lo in range(0, int(shared.sum()), 8192):  # bounded memory, however long the texts
         a, b = np.searchsorted(column, [lo, lo + 8192])
-        dense = np.zeros((g, 8192), dtype=np.float32)
+        dense = np.zeros((g, min(8192, int(column[b - 1]) - lo + 1)), dtype=np.float32)
         dense[row[a:b], column[a:b] - lo] = 1
         common += (dense @ dense.T).astype(np.int64)
-    return 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
+    return common
+
+
+def _linked(sets: list[np.ndarray], percent: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Matrix of the pairs, among the ``wanted`` ones, whose Jaccard similarity is at least ``percent``."""
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    whole = sizes[:, None] + sizes[None, :]
+    if wanted is None or wanted.sum() * 8 > len(sets) ** 2:
+        common = _common(sets)
+        near = 100 * common >= percent * (whole - common)
+        return near if wanted is None else near & wanted
+    near = np.zeros_like(wanted)
+    for i, j in zip(*np.nonzero(np.triu(wanted, 1)), strict=True):
+        both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+        near[i, j] = near[j, i] = 100 * both >= percent * (sizes[i] + sizes[j] - both)
+    return near
 
 
 def _forest(sids: list[int], links: np.ndarray) -> list[tuple[int, int]]:
     """Edges from each component's least set to its others."""
     root = np.arange(len(sids))
     for i in range(len(sids)):
-        near = np.unique(root[np.flatnonzero(links[i])])
+        near = np.unique(np.append(root[np.flatnonzero(links[i])], root[i]))
         if len(near) > 1:
             root[np.isin(root, near)] = near[0]
     out = []
@@ -158,6 +177,31 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.join(broadcast_if(wanted, BROADCAST_ROWS), docs["doc_id"] == wanted["rep"]).drop("doc_id", "rep")
 
 
+def _groups(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[list[dict], list[np.ndarray]]]:
+    """(rows, sets) of each run of rows with one ``block``; of those with one ``sid``, the first whose text has it."""
+    at, rows, sets, seen = None, [], [], set()
+    for batch in batches:
+        for lo in range(0, batch.num_rows, _SLICE):
+            part = batch.slice(lo, _SLICE)
+            found = shingle_sets(_column(part, "text"), k)
+            rest = part.drop_columns(["text"]).to_pylist()
+            for row, s in zip(rest, found, strict=True):
+                if row["block"] != at:
+                    if len(rows) > 1:
+                        yield rows, sets
+                    at, rows, sets, seen = row["block"], [], [], set()
+                if row["sid"] not in seen and _fingerprint(s) == row["sid"]:  # a repeated id may bring another text
+                    seen.add(row["sid"])
+                    rows.append(row)
+                    sets.append(s)
+    if len(rows) > 1:
+        yield rows, sets
+
+
+def _edges(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
 def _early(docs: DataFrame, sets: DataFrame, scratch: Scratch, k: int, percent: int, block: int) -> DataFrame:
     """Edges (a, b) of near copies that share a minimum hash, compared in blocks of about ``block`` sets."""
     keys = sets.select("sid", "rep", F.posexplode(F.array("k0", "k1")).alias("j", "key"))
@@ -166,27 +210,48 @@ def _early(docs: DataFrame, sets: DataFrame, scratch: Scratch, k: int, percent:
     met = scratch.keep(met)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own = None, {}
+        for rows, own in _groups(batches, k):
+            edges = _forest([r["sid"] for r in rows], _linked(own, percent))
+            if edges:
+                yield _edges(edges)
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            if len(own) > 1:
-                edges = _forest(list(own), _linked(list(own.values()), percent))
-                if edges:
-                    yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], names=["a", "b"])
+    rows = _texts(docs, met).select("block", "sid", "text").repartition("block").sortWithinPartitions("block")
+    return rows.mapInArrow(run, "a long, b long")
 
-        for batch in batches:
-            for lo in range(0, batch.num_rows, _SLICE):
-                part = batch.slice(lo, _SLICE)
-                found = shingle_sets(_column(part, "text"), k)
-                for b, sid, s in zip(_column(part, "block").to_pylist(), _column(part, "sid").to_pylist(), found, strict=True):
-                    if b != at:
-                        yield from flush()
-                        at, own = b, {}
-                    if _fingerprint(s) == sid:  # a repeated id may bring another text
-                        own[sid] = s
-        yield from flush()
 
-    rows = _texts(docs, met).select("block", "sid", "text").repartition("block").sortWithinPartitions("block")
+def _dense(docs: DataFrame, sets: DataFrame, postings: DataFrame, left: DataFrame, comps: DataFrame, scratch: Scratch, k: int, percent: int, block: int) -> DataFrame:
+    """Edges (a, b) that join components among the sets of ``left``, which hardly have a shingle that is not hot.
+
+    Every list of a 1-prefix shingle is compared block by block, each pair under the first shingle that both prefixes
+    hold; only edges come out, never pairs.
+    """
+    own = postings.where("level = 1").join(left, "sid", "left_semi").select("sid", "token")
+    own = own.join(broadcast_if(comps, BROADCAST_ROWS), own["sid"] == comps["node"], "left").select("sid", "token", F.coalesce("label", "sid").alias("comp"))
+    own = scratch.keep(own)
+    lists = own.groupBy("token").agg(F.ceil(F.count("*") / block).alias("blocks"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
+    met = own.join(lists, "token").withColumn("half", F.pmod(F.xxhash64("sid"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = met.select("sid", "comp", "token", "half", F.xxhash64("token", F.least("half", "other"), F.greatest("half", "other")).alias("block"))
+    texts = _texts(docs, scratch.keep(left.join(sets.select("sid", "rep"), "sid").select("sid", "rep"))).select("sid", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, own in _groups(batches, k):
+            comp, half = (np.array([r[c] for r in rows], dtype=np.int64) for c in ("comp", "half"))
+            wanted = comp[:, None] != comp[None, :]
+            if len(np.unique(half)) > 1:
+                wanted &= half[:, None] != half[None, :]
+            sizes = np.array([len(s) for s in own])
+            wanted &= np.minimum(sizes[:, None], sizes[None, :]) * 100 >= np.maximum(sizes[:, None], sizes[None, :]) * percent
+            token = np.array([rows[0]["token"]], dtype=np.int64).view(np.uint64)[0]
+            before = []
+            for s in own:
+                prefix = s[: len(s) - (percent * len(s) + 99) // 100 + 1]
+                before.append(prefix[prefix < token])
+            wanted &= _common(before) == 0 if any(len(p) for p in before) else True
+            edges = _forest([r["sid"] for r in rows], _linked(own, percent, wanted)) if wanted.any() else []
+            if edges:
+                yield _edges(edges)
+
+    rows = met.join(texts, "sid").select("block", "sid", "comp", "token", "half", "text").repartition("block").sortWithinPartitions("block")
     return rows.mapInArrow(run, "a long, b long")
 
 
@@ -302,21 +367,16 @@ def similarity_components(docs: DataFrame, *, words: int = WORDS, percent: int =
     ones = docs.where("doc_id is not null").join(broadcast_if(copies, BROADCAST_ROWS), "doc_id", "left_anti")
     postings = scratch.keep(_postings(ones, words, percent, extra, least))
     pairs, left = _round(postings, comps, scratch, percent, hot, extra)
-    found, limit = [pairs], hot
-    while left.count():
-        if len(found) == 1:
-            again = _texts(docs, scratch.keep(left.join(sets.select("sid", "rep"), "sid").select("rep").distinct()))
-            postings = scratch.keep(_postings(again, words, percent, None, least).join(left, "sid", "left_semi"))
-        else:
-            limit *= 8
-            postings = postings.join(left, "sid", "left_semi")
-        pairs, left = _round(postings, comps, scratch, percent, limit, None)
-        found.append(pairs)
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    links = scratch.keep(_verified(docs, sets, scratch.keep(every.distinct()), scratch, words, percent))
-    final = scratch.keep(components(edges.unionByName(links), scratch)).select(F.col("node").alias("sid"), "label")
+    closer = edges
+    if left.count():  # the length of a written table
+        again = _texts(docs, scratch.keep(left.join(sets.select("sid", "rep"), "sid").select("sid", "rep")))
+        postings = scratch.keep(_postings(again, words, percent, None, least))
+        more, left = _round(postings, comps, scratch, percent, hot, None)
+        pairs = scratch.keep(pairs.unionByName(more).distinct())
+        if left.count():
+            closer = edges.unionByName(scratch.keep(_dense(docs, sets, postings, left, comps, scratch, words, percent, 2 * block)))
+    links = scratch.keep(_verified(docs, sets, pairs, scratch, words, percent))
+    final = scratch.keep(components(closer.unionByName(links), scratch)).select(F.col("node").alias("sid"), "label")
     labelled = sets.join(final, "sid", "left").select("sid", "rep", F.coalesce("label", "sid").alias("label"))
     ids = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))
     ids = scratch.keep(labelled.join(ids, "label").select("sid", "component_id"))
