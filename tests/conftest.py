@@ -18,6 +18,11 @@ def spark():
     s.stop()
 
 
+@pytest.fixture(scope="session")
+def sf_dir():
+    return str(SF)
+
+
 @pytest.fixture(scope="session")
 def duck():
     import duckdb

@@ -12,8 +12,6 @@ def test_every_query_but_the_sample_has_an_oracle():
     assert set(QUERIES) - set(SQL) == {"line_sample"}
 
 
-def test_sample_is_repeatable(spark):
-    from conftest import SF
-
-    a, b = (QUERIES["line_sample"](spark, str(SF)).collect() for _ in range(2))
+def test_sample_is_repeatable(spark, sf_dir):
+    a, b = (QUERIES["line_sample"](spark, sf_dir).collect() for _ in range(2))
     assert a == b and a
