@@ -61,7 +61,14 @@ class Scratch:
     def keep(self, df: DataFrame) -> DataFrame:
         path = self.path()
         df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        kept = self.spark.read.schema(df.schema).parquet(path)
+        kept._kept_at = path
+        return kept
+
+    def free(self, *kept: DataFrame) -> None:
+        """Remove tables that ``keep`` returned and nothing reads any more."""
+        for df in kept:
+            self.drop(df._kept_at)
 
     def path(self) -> str:
         self.n += 1

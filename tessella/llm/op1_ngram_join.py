@@ -273,13 +273,16 @@ def _choose(levels: np.ndarray, costs: np.ndarray, hot: np.ndarray, most: int, p
 
 def _round(postings: DataFrame, comps: DataFrame, scratch: Scratch, percent: int, limit: int, extra: float | None) -> tuple[DataFrame, DataFrame]:
     """(pairs to verify, sets left for the next round) among the sets of ``postings``."""
-    own = postings.join(broadcast_if(comps, BROADCAST_ROWS), postings["sid"] == comps["node"], "left")
-    own = own.select("sid", "n", "token", "level", F.coalesce("label", "sid").alias("comp"))
-    sums = own.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token")
+    # Most shingles are in one set only. They are dropped first, so that little more than the fingerprints is shuffled for them.
+    several = postings.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+    own = scratch.keep(postings.join(several, "token").select("sid", "n", "token", "level"))
+    marked = own.join(broadcast_if(comps, BROADCAST_ROWS), own["sid"] == comps["node"], "left")
+    marked = marked.select("sid", "n", "token", "level", F.coalesce("label", "sid").alias("comp"))
+    sums = marked.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token")
     stats = sums.agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count("*").alias("comps"), F.max_by("comp", "c").alias("main")).where("comps > 1")
     # Average partners in other components. Scans skip the main component on one side, so they visit at most this many.
     stats = stats.select("token", ((F.col("all") * F.col("all") - F.col("same")) / F.col("all")).alias("cost"), "main")
-    held = own.join(stats, "token").select("sid", "n", "comp", F.struct("token", "level", "cost", (F.col("comp") == F.col("main")).alias("main")).alias("p"))
+    held = marked.join(stats, "token").select("sid", "n", "comp", F.struct("token", "level", "cost", (F.col("comp") == F.col("main")).alias("main")).alias("p"))
     held = held.groupBy("sid", "n", "comp").agg(F.collect_list("p").alias("ps"))  # at most a document's own shingles
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,7 +327,9 @@ def _round(postings: DataFrame, comps: DataFrame, scratch: Scratch, percent: int
     raised = fewer + both - F.floor((large * percent + 99) / 100)
     found = r.join(s, meet).select(F.least("r.sid", "s.sid").alias("a"), F.greatest("r.sid", "s.sid").alias("b"), raised.alias("needed"))
     pairs = found.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("needed").alias("needed")).where("c >= needed").select("a", "b")
-    return scratch.keep(pairs), left
+    pairs = scratch.keep(pairs)
+    scratch.free(own, chosen)
+    return pairs, left
 
 
 def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame:
@@ -367,6 +372,7 @@ def similarity_components(docs: DataFrame, *, words: int = WORDS, percent: int =
     ones = docs.where("doc_id is not null").join(broadcast_if(copies, BROADCAST_ROWS), "doc_id", "left_anti")
     postings = scratch.keep(_postings(ones, words, percent, extra, least))
     pairs, left = _round(postings, comps, scratch, percent, hot, extra)
+    scratch.free(postings)
     closer = edges
     if left.count():  # the length of a written table
         again = _texts(docs, scratch.keep(left.join(sets.select("sid", "rep"), "sid").select("sid", "rep")))
