@@ -55,6 +55,8 @@ EXTRA = 0.06
 #: Cost of verifying a pair, in postings scanned.
 VERIFY = 30
 BLOCK = 96
+#: Sets in a block of a hot list; larger blocks copy a set to fewer of them.
+DENSE_BLOCK = 512
 #: Rows of (document, few numbers) that may be broadcast; about 50 bytes each.
 BROADCAST_ROWS = 500_000
 _SEEDS = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F))
@@ -353,7 +355,7 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, scratch: Scrat
     return joined.mapInArrow(run, "a long, b long")
 
 
-def similarity_components(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text", hot: int = HOT, extra: float = EXTRA, block: int = BLOCK) -> DataFrame:
+def similarity_components(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text", hot: int = HOT, extra: float = EXTRA, block: int = BLOCK, dense_block: int = DENSE_BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``."""
     spark = docs.sparkSession
     ship(spark)
@@ -380,7 +382,7 @@ def similarity_components(docs: DataFrame, *, words: int = WORDS, percent: int =
         more, left = _round(postings, comps, scratch, percent, hot, None)
         pairs = scratch.keep(pairs.unionByName(more).distinct())
         if left.count():
-            closer = edges.unionByName(scratch.keep(_dense(docs, sets, postings, left, comps, scratch, words, percent, 2 * block)))
+            closer = edges.unionByName(scratch.keep(_dense(docs, sets, postings, left, comps, scratch, words, percent, dense_block)))
     links = scratch.keep(_verified(docs, sets, pairs, scratch, words, percent))
     final = scratch.keep(components(closer.unionByName(links), scratch)).select(F.col("node").alias("sid"), "label")
     labelled = sets.join(final, "sid", "left").select("sid", "rep", F.coalesce("label", "sid").alias("label"))

@@ -80,7 +80,7 @@ def family(seed):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_hot_shingles_lose_no_link(spark, seed):
     rows = family(seed)
-    got = op1.similarity_components(frame(spark, rows), words=3, percent=80, hot=2, block=8).collect()
+    got = op1.similarity_components(frame(spark, rows), words=3, percent=80, hot=2, block=8, dense_block=16).collect()
     assert {tuple(r) for r in got} == expected(rows, 3, 80)
 
 
@@ -88,7 +88,7 @@ def test_dense_blocks_alone_lose_no_link(spark, monkeypatch):
     """Without early joins, everything hot goes to the block comparison."""
     monkeypatch.setattr(op1, "_early", lambda docs, *a: docs.sparkSession.createDataFrame([], "a long, b long"))
     rows = family(3)
-    got = op1.similarity_components(frame(spark, rows), words=3, percent=80, hot=0, block=4).collect()
+    got = op1.similarity_components(frame(spark, rows), words=3, percent=80, hot=0, block=4, dense_block=8).collect()
     assert {tuple(r) for r in got} == expected(rows, 3, 80)
 
 
