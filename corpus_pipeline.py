@@ -24,9 +24,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring template lines dropped; documents without a word after that go. Documents that consist of such lines by
-    more than half are copies of others: they stay whole for the next stage, which keeps one of them."""
-    rest = op3_line_dedup.dedup_lines(docs, max_lost=0.5)
+    """Recurring template lines dropped; documents without a word after that go. Of the documents that consist of such
+    lines by more than half, near copies of the one that keeps the lines keep them, too: the next stage removes them."""
+    near = (op1_ngram_join.WORDS, op1_ngram_join.PERCENT)
+    rest = op3_line_dedup.dedup_lines(docs, max_lost=0.5, near=near)
     return _measured(rest.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")), docs.columns)
 
 

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK, Scratch, broadcast_if, content_key, let, once, words_of
+from .common import BLANK, Scratch, broadcast_if, content_key, let, once, small, words_of
 
 MIN_TOKENS = 3
 #: Leading tokens in a path of the tree; with the token count its depth is one more.
@@ -35,6 +35,8 @@ MIN_DOCUMENTS = 5
 MIN_FIXED = 0.7
 #: Documents with lines to drop that may be broadcast; about 100 bytes each.
 BROADCAST_ROWS = 200_000
+#: Documents that are compared with one copy of the text that keeps their lines.
+PER_COPY = 500
 FIELD = "<*>"
 KEY = ["content_a", "content_b"]
 
@@ -97,23 +99,80 @@ def recurring_templates(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     return first.join(enough, ["leaf", "template"]), matched.drop("words")
 
 
-def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_documents: int = MIN_DOCUMENTS, min_tokens: int = MIN_TOKENS, leading: int = LEADING, min_fixed: float = MIN_FIXED, max_lost: float = 1.0) -> DataFrame:
+def _shingles(text: Column, k: int) -> Column:
+    """Distinct hashes of the runs of k words, as the n-gram join forms them: A-Z in lower case, a shorter text as one run."""
+    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+    def runs(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - k, F.lit(0))), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)]))
+
+    return let(words_of(low), lambda w: F.array_distinct(F.when(F.size(w) > 0, runs(w)).otherwise(F.array().cast("array<bigint>"))))
+
+
+def _without(text: Column, drop: Column) -> Column:
+    return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(drop, _line_key(x))), "\n")
+
+
+def _spared(keyed: DataFrame, joined: DataFrame, others: DataFrame, drops: DataFrame, lost: Column, doc_id: str, text: str, near: tuple[int, int], scratch: Scratch) -> DataFrame:
+    """(s_a, s_b, _own): documents and the lines they keep, as near copies of a document that keeps these lines.
+
+    Of the documents for which ``lost`` holds, each is compared, as it would come out, with the one that keeps most of
+    its words, as that comes out. Only documents that are not spared themselves count as such, so the two are still
+    similar enough in the result.
+    """
+    k, percent = near
+    heavy = joined.where(F.col("_drop").isNotNull() & lost).groupBy("d_a", "d_b")
+    heavy = heavy.agg(F.first(text).alias("text"), F.first("_drop").alias("_drop"), F.max(F.col(doc_id).isNull()).alias("unnamed"))
+    heavy = scratch.keep(heavy.where("not unnamed").drop("unnamed"))  # a near-duplicate operator links no null ids
+    named = others.where("f_id is not null").select(F.col("content_a").alias("d_a"), F.col("content_b").alias("d_b"), "f_a", "f_b", "line", "n")
+    held = named.join(broadcast_if(heavy.select("d_a", "d_b"), BROADCAST_ROWS), ["d_a", "d_b"], "left_semi")
+    held = held.groupBy("d_a", "d_b", "f_a", "f_b").agg(F.sum("n").alias("n"), F.collect_set("line").alias("_own"))
+    best = held.groupBy("d_a", "d_b").agg(F.max(F.struct("n", "f_a", "f_b", "_own")).alias("b")).select("d_a", "d_b", "b.f_a", "b.f_b", "b._own")
+    best = scratch.keep(best)
+    firsts = best.groupBy("f_a", "f_b").agg(F.ceil(F.count("*") / PER_COPY).alias("copies"))
+    whole = keyed.join(firsts, (F.col("_content_a") == F.col("f_a")) & (F.col("_content_b") == F.col("f_b"))).groupBy("f_a", "f_b", "copies").agg(F.first(text).alias("f_text"))
+    whole = whole.join(drops.select(F.col("d_a").alias("f_a"), F.col("d_b").alias("f_b"), "_drop"), ["f_a", "f_b"], "left")
+    whole = whole.select("f_a", "f_b", "copies", F.when(F.col("_drop").isNull(), F.col("f_text")).otherwise(_without(F.col("f_text"), F.col("_drop"))).alias("f_text"))
+    copies = whole.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).select("f_a", "f_b", "copy", "f_text")
+    ones = heavy.join(best, ["d_a", "d_b"]).join(firsts, ["f_a", "f_b"]).withColumn("copy", F.pmod(F.col("d_a"), F.col("copies")))
+    pairs = ones.join(copies, ["f_a", "f_b", "copy"]).select("d_a", "d_b", "f_a", "f_b", "_own", once(_shingles(_without(F.col("text"), F.array_except("_drop", "_own")), k)).alias("x"), once(_shingles(F.col("f_text"), k)).alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    found = scratch.keep(pairs.where((both > 0) & (both * 100 >= (F.size("x") + F.size("y") - both) * percent)).drop("x", "y"))
+    also = found.select(F.col("d_a").alias("f_a"), F.col("d_b").alias("f_b"))
+    return scratch.keep(found.join(also, ["f_a", "f_b"], "left_anti").select(F.col("d_a").alias("s_a"), F.col("d_b").alias("s_b"), "_own"))
+
+
+def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_documents: int = MIN_DOCUMENTS, min_tokens: int = MIN_TOKENS, leading: int = LEADING, min_fixed: float = MIN_FIXED, max_lost: float = 1.0, near: tuple[int, int] | None = None) -> DataFrame:
     """``docs`` with recurring lines dropped from the text, and ``n_lines`` and ``n_dropped`` (replaced if present).
 
     A document that would lose more than ``max_lost`` of its words keeps them all: below 1, near copies of one another
-    are left whole for a near-duplicate operator, instead of being cut down to the lines in which they differ.
+    are left whole for a near-duplicate operator, instead of being cut down to the lines in which they differ. With
+    ``near``, (words of a shingle, least Jaccard similarity in percent), only a document that comes out that similar to
+    one of smaller id keeps anything, and of its lines those that this one keeps.
     """
     scratch = Scratch(docs.sparkSession)
     templates, lines = recurring_templates(docs, doc_id=doc_id, text=text, min_documents=min_documents, min_tokens=min_tokens, leading=leading, min_fixed=min_fixed, scratch=scratch)
-    keep = templates.select("leaf", "template", F.col("first.content_a").alias("f_a"), F.col("first.content_b").alias("f_b"))
+    keep = templates.select("leaf", "template", F.col("first.id").alias("f_id"), F.col("first.content_a").alias("f_a"), F.col("first.content_b").alias("f_b"), F.size(F.split("words", " ")).alias("n"))
     others = lines.join(keep, ["leaf", "template"]).where((F.col("content_a") != F.col("f_a")) | (F.col("content_b") != F.col("f_b")))
+    if near and max_lost < 1.0:
+        others = scratch.keep(others)
     drops = scratch.keep(others.groupBy(F.col("content_a").alias("d_a"), F.col("content_b").alias("d_b")).agg(F.collect_set("line").alias("_drop")))
     keyed = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], *[c.alias(f"_{k}") for k, c in zip(KEY, content_key(F.col(text)), strict=True)])
-    joined = keyed.join(broadcast_if(drops, BROADCAST_ROWS), (F.col("_content_a") == F.col("d_a")) & (F.col("_content_b") == F.col("d_b")), "left")
     all_lines = F.split(F.col(text), "\n")
     left = F.filter(all_lines, lambda x: ~F.array_contains("_drop", _line_key(x)))
-    if max_lost < 1.0:
-        words = F.size(words_of(F.col(text)))
+    words = F.size(words_of(F.col(text)))
+
+    def with_drops(drops: DataFrame) -> DataFrame:
+        return keyed.join(broadcast_if(drops, BROADCAST_ROWS), (F.col("_content_a") == F.col("d_a")) & (F.col("_content_b") == F.col("d_b")), "left")
+
+    joined = with_drops(drops)
+    if near and max_lost < 1.0:
+        lost = words - F.size(words_of(F.array_join(left, " "))) > words * max_lost
+        spared = _spared(keyed, joined, others, drops, lost, doc_id, text, near, scratch)
+        if not small(spared, 0):
+            fewer = F.when(F.col("_own").isNull(), F.col("_drop")).otherwise(F.array_except("_drop", "_own"))
+            joined = with_drops(scratch.keep(drops.join(spared, (F.col("d_a") == F.col("s_a")) & (F.col("d_b") == F.col("s_b")), "left").select("d_a", "d_b", fewer.alias("_drop"))))
+    elif max_lost < 1.0:
         left = let(left, lambda x: F.when(words - F.size(words_of(F.array_join(x, " "))) <= words * max_lost, x).otherwise(all_lines))
     step = joined.withColumn("_left", F.when(F.col("_drop").isNotNull(), left))
     own = [F.when(F.col("_drop").isNull(), F.col(c)).otherwise(F.array_join("_left", "\n")).alias(c) if c == text else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]

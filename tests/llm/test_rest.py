@@ -1,13 +1,14 @@
 """Operators 2, 5, 6 and 10, and the pipeline."""
 
 import html
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from fixtures import clashing, corpus, frame
+from fixtures import clashing, corpus, frame, words
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -211,3 +212,30 @@ def test_pipeline_on_odd_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         none = stage(spark, none, SF)
     assert none.count() == 0
+
+
+def jaccard(a, b, k=5):
+    x, y = ({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (t.lower().split() for t in (a, b)))
+    return len(x & y) / len(x | y)
+
+
+def test_pipeline_drops_a_passage_from_all_but_near_copies(spark):
+    """A passage of 60 words goes whatever its share of a document; near copies go whole, and nothing else does."""
+    rng = random.Random(4)
+    passage, *lines = (" ".join(words(rng, n)) for n in (60, *[10] * 40))
+    rows = [(i, passage + "\n" + " ".join(f"own{i}x{j}" for j in range(70 if i % 3 == 0 else 50 if i % 3 == 1 else 20)), "en", f"s{i % 7}", 0) for i in range(60)]
+    for i in range(10):  # near copies of one another that differ in the last line
+        rows.append((100 + i, "\n".join([*lines[:20], " ".join(f"last{i}x{j}" for j in range(10))]), "en", "s0", 0))
+    for i in range(10):  # and such that hold the passage, which another document keeps
+        rows.append((200 + i, "\n".join([passage, *lines[20:], " ".join(f"end{i}x{j}" for j in range(10))]), "en", "s0", 0))
+    stages = dict(corpus_pipeline.STAGES)
+    whole, two = {r[0]: r[1] for r in rows}, stages["line dedup"](spark, frame(spark, rows), SF).cache()
+    got = {r.doc_id: r.text for r in two.collect()}
+    assert [i for i, t in got.items() if passage in t] == [0]
+    assert all(got[i] == whole[i].split("\n")[1] for i in range(1, 60))
+    keeps = [i for i in range(101, 110) if lines[0] in got[i]]
+    assert keeps == [i for i in range(101, 110) if jaccard(whole[i], whole[100]) >= 0.8] == list(range(101, 110))
+    assert all(got[i] == whole[i].removeprefix(passage + "\n") for i in range(200, 210))
+    assert all(jaccard(got[i], got[i // 100 * 100]) >= 0.8 for i in got if i > 100 and i % 100)
+    three = {r.doc_id for r in stages["n-gram Jaccard join"](spark, two, SF).collect()}
+    assert three == {*range(60), 100, 200}
