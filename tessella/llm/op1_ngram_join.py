@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import Scratch, broadcast_if
+from .common import Scratch, broadcast_if, content_key
 from .components import components
 from .shingles import mixed, shingle_sets
 
@@ -79,7 +79,9 @@ def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
 
 
 def _members(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, sid, k0, k1): size, fingerprint and two minimum hashes of each document's set; null fingerprints for empty sets."""
+    """(doc_id, n, sid, k0, k1): size, fingerprint and two minimum hashes of each document's set; null fingerprints for empty sets.
+    Columns of ``docs`` besides id and text follow."""
+    more = [f for f in docs.schema.fields if f.name not in ("doc_id", "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,10 +91,10 @@ def _members(docs: DataFrame, k: int) -> DataFrame:
                 sizes = [len(s) for s in sets]
                 sid = [_fingerprint(s) if len(s) else None for s in sets]
                 least = [[int(mixed(s ^ seed).min().view(np.int64)) if len(s) else None for s in sets] for seed in _SEEDS]
-                yield pa.RecordBatch.from_arrays([_column(part, "doc_id"), pa.array(sizes, pa.int64()), pa.array(sid, pa.int64()), *(pa.array(x, pa.int64()) for x in least)], names=["doc_id", "n", "sid", "k0", "k1"])
+                yield pa.RecordBatch.from_arrays([_column(part, "doc_id"), pa.array(sizes, pa.int64()), pa.array(sid, pa.int64()), *(pa.array(x, pa.int64()) for x in least), *(_column(part, f.name) for f in more)], names=["doc_id", "n", "sid", "k0", "k1", *(f.name for f in more)])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, sid long, k0 long, k1 long")
+    return docs.mapInArrow(run, ", ".join([f"doc_id {kind}, n long, sid long, k0 long, k1 long", *(f"{f.name} {f.dataType.simpleString()}" for f in more)]))
 
 
 def _postings(docs: DataFrame, k: int, percent: int, extra: float | None, least: int) -> DataFrame:
@@ -357,11 +359,19 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, scratch: Scrat
 
 def similarity_components(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text", hot: int = HOT, extra: float = EXTRA, block: int = BLOCK, dense_block: int = DENSE_BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``."""
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return _labelled(docs, words, percent, hot, extra, block, dense_block).select("doc_id", "n_shingles", "component_id")
+
+
+def _labelled(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, hot: int = HOT, extra: float = EXTRA, block: int = BLOCK, dense_block: int = DENSE_BLOCK) -> DataFrame:
+    """(doc_id, n_shingles, component_id, label) for every row of (doc_id, text, ...), and its other columns.
+    Unlike the id, which may have several texts, the label stands for one component; null for empty sets."""
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark)
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    besides = [c for c in docs.columns if c not in ("doc_id", "text")]
     members = scratch.keep(_members(docs, words))
+    docs = docs.select("doc_id", "text")
     sets = members.where("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("k0").alias("k0"), F.max("k1").alias("k1"))
     sets = scratch.keep(sets)
     # Sets smaller than this link with equal ones only.
@@ -387,20 +397,31 @@ def similarity_components(docs: DataFrame, *, words: int = WORDS, percent: int =
     final = scratch.keep(components(closer.unionByName(links), scratch)).select(F.col("node").alias("sid"), "label")
     labelled = sets.join(final, "sid", "left").select("sid", "rep", F.coalesce("label", "sid").alias("label"))
     ids = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))
-    ids = scratch.keep(labelled.join(ids, "label").select("sid", "component_id"))
+    ids = scratch.keep(labelled.join(ids, "label").select("sid", "component_id", "label"))
     out = members.join(broadcast_if(ids, BROADCAST_ROWS), "sid", "left")
     own = F.when(F.col("sid").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "label", *besides)
 
 
 def one_of_each(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without those that a chain of links joins to a document of smaller id; rows that repeat a kept id with a linked text go, too."""
+    """``docs`` without those that a chain of links joins to a document of smaller id; rows that repeat a kept id with a
+    linked text go, too. Where an id has several texts, each goes or stays by its own links."""
     scratch = Scratch(docs.sparkSession)
-    found = scratch.keep(similarity_components(docs, words=words, percent=percent, doc_id=doc_id, text=text))
-    goes = scratch.keep(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct())
-    kept = docs.join(broadcast_if(goes, BROADCAST_ROWS), docs[doc_id] == goes["_gone"], "left_anti")
-    if found.where("component_id = doc_id").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(kept.where(F.col(doc_id).isNull()))
+    keys = [F.col(doc_id).alias("doc_id"), *content_key(F.col(text))]
+    found = scratch.keep(_labelled(docs.select(F.col(text).alias("text"), *keys), words, percent))
+    row = ["doc_id", "content_a", "content_b"]
+    goes = scratch.keep(found.where("component_id <> doc_id").select(*[F.col(c).alias(f"_gone_{c}") for c in row]).distinct())
+    same = [docs[doc_id] == goes["_gone_doc_id"], *[k == goes[f"_gone_{c}"] for k, c in zip(content_key(docs[text]), row[1:], strict=True)]]
+    kept = docs.join(broadcast_if(goes, BROADCAST_ROWS), same, "left_anti")
+    stay = found.where("component_id = doc_id")
+    many = stay.groupBy("doc_id", "label").count().where("count > 1").select(F.col("doc_id").alias("_i"), F.col("label").alias("_l"))
+    if many.limit(1).count():
+        many = stay.join(many, (F.col("doc_id") == F.col("_i")) & F.col("label").eqNullSafe(F.col("_l"))).select(*[F.col(c).alias(f"_many_{c}") for c in row], F.col("label").alias("_many_label")).distinct()
+        many = scratch.keep(many)
+        same = [F.col(doc_id) == F.col("_many_doc_id"), *[k == F.col(f"_many_{c}") for k, c in zip(content_key(F.col(text)), row[1:], strict=True)]]
+        told = kept.join(broadcast_if(many, BROADCAST_ROWS), same, "left")
+        once = told.where("_many_doc_id is not null").dropDuplicates([doc_id, "_many_label"])
+        kept = told.where("_many_doc_id is null").unionByName(once).select(*docs.columns)
     return kept
 
 

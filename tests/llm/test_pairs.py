@@ -101,6 +101,15 @@ def test_join_odd_inputs(spark):
     assert 9 in kept and not kept & set(range(200, 208)) and None in kept
 
 
+def test_one_of_each_where_an_id_has_several_texts(spark):
+    x, y, z = (" ".join(f"{c}{j}" for j in range(60)) for c in "xyz")
+    rows = [(5, x, "en", "s", 0), (5, y, "en", "s", 0), (2, y, "en", "s", 0), (9, x, "en", "s", 0), (7, x, "en", "s", 0), (7, z, "en", "s", 0), (7, z + " end", "en", "s", 0), (8, None, "en", "s", 0), (8, "", "en", "s", 0)]
+    got = sorted((r.doc_id, r.text[0]) for r in op1.one_of_each(frame(spark, rows)).collect() if r.doc_id != 8)
+    assert got == [(2, "y"), (5, "x"), (7, "z")]
+    apart = [(5, x, "en", "s", 0), (5, z, "en", "s", 0), (5, z, "en", "s", 0)]
+    assert sorted(r.text for r in op1.one_of_each(frame(spark, apart)).collect()) == [x, z]
+
+
 def vectors(seed=0, n=300, dims=16):
     rng = np.random.default_rng(seed)
     x = rng.normal(size=(n, dims))
