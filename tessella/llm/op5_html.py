@@ -3,9 +3,10 @@
 A page is read once into text nodes with their root-to-leaf tag path. For each
 path the text length and the punctuation of its nodes are aggregated; the ratios
 of a path go to its nodes in page order, are smoothed over their neighbours,
-fused by their product and compared with a threshold. The element that holds
-the selected nodes, an article or main part where the page marks one, is the
-content; blocks in it that are marked as menus, notices, adverts, forms,
+fused by their product and compared with a threshold. The article or main part
+that holds the selected nodes is the content, with what stands beside it
+in a main part or article around it but in no other article; on a page that marks
+none, the smallest container of all text outside links is. Blocks in it that are marked as menus, notices, adverts, forms,
 comments and the like, or that consist of links, are left out, and every other
 block in it is kept whatever its length.
 
@@ -32,7 +33,7 @@ from ..shipping import ship
 THRESHOLD = 0.5
 #: Neighbours on each side that smooth a node's ratios, and their weights by distance.
 WEIGHTS = (1.0, 0.6, 0.2)
-#: Share of the selected text that an element must hold for the search to go down into it.
+#: Share of the best article's selected text that one inside it must hold to be taken instead.
 HELD = 0.9
 #: Share of a block's text in links from which it is a menu.
 LINKED = 0.6
@@ -238,16 +239,17 @@ def _content(nodes: list[_Node]) -> list[_Node]:
         best = max(articles.values())
         # The innermost article or main part with most of what the best one holds.
         chosen = max((e for k, e in by_id.items() if articles[k] >= HELD * best), key=lambda e: (e.name == "article", len(e.path)))
-        return [x for x in nodes if any(e is chosen for e in _chain(x.element))]
-    total, chosen = sum(mass), None
-    held: dict[int, float] = defaultdict(float)
-    for x, m in zip(nodes, mass, strict=True):
-        for e in _chain(x.element):
-            held[id(e)] += m
-            if held[id(e)] >= HELD * total and e.name in CONTAINERS and (chosen is None or len(e.path) >= len(chosen.path)):
+        around = [e for e in _chain(chosen) if id(e) in by_id and e is not chosen]
+        outside = {x.block for x in nodes if not x.element.linked and any(x.element.article is e for e in around)}  # of no other article
+        return [x for x in nodes if any(e is chosen for e in _chain(x.element)) or x.block in outside and any(x.element.article is e for e in around)]
+    solid, chosen = sum(not x.element.linked for x in nodes), None
+    held: dict[int, int] = defaultdict(int)
+    for x in nodes:
+        for e in _chain(x.element) if not x.element.linked else ():
+            held[id(e)] += 1
+            if held[id(e)] == solid and e.name in CONTAINERS and (chosen is None or len(e.path) >= len(chosen.path)):
                 chosen = e
-    inside = nodes if chosen is None or not total else [x for x in nodes if any(e is chosen for e in _chain(x.element))]
-    return inside
+    return nodes if chosen is None else [x for x in nodes if any(e is chosen for e in _chain(x.element))]
 
 
 def main_text(page: str | None) -> str:

@@ -114,6 +114,15 @@ def test_main_text(page, text):
     assert op5_html.main_text(page) == text
 
 
+@pytest.mark.parametrize("n", [1, 40])
+def test_title_and_lead_stay_however_long_the_body(n):
+    body = "".join(f"<p>A paragraph of the body, number {i}; it goes on, and on.</p>" for i in range(n))
+    said = " ".join(f"A paragraph of the body, number {i}; it goes on, and on." for i in range(n))
+    assert op5_html.main_text(f"<div id=content><h1>T</h1><p>lead</p><div>{body}</div></div><div><a href=x>One</a></div>") == f"T lead {said}"
+    other = "<article><p>Other, short.</p></article>" if n > 1 else ""
+    assert op5_html.main_text(f"<main><h1>T</h1><article>{body}</article>{other}</main>") == f"T {said}"
+
+
 def test_pages_of_the_table(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r.page_id: r for r in op5_html.extract(pages).collect()}
