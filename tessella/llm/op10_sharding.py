@@ -5,12 +5,13 @@ Documents of equal text form a group. Groups are packed as items with a vector
 capacity has the highest dot product with it. The packing itself sees a bounded
 number of items whatever the input:
 
-- a group of at least 1/``bundles`` of all bytes is an item of its own (at most
-  ``bundles`` exist); one that is more than an eighth of a shard is split by a
-  hash of the id into parts below that, since it could not be balanced whole;
+- a group of at least 1/``bundles`` of all bytes, tokens or rows is an item of its
+  own (at most ``bundles`` exist by each); one that is more than an eighth of a
+  shard by any of them is split by a hash of the id into parts of about that,
+  since it could not be balanced whole;
 - all smaller groups are bundled by their content hash into ``bundles`` items.
 
-So at most about 3 * ``bundles`` short rows reach the driver, and the item
+So at most about 5 * ``bundles`` short rows reach the driver, and the item
 table that is broadcast has the same bound. Texts are never shuffled; slots
 come from a rank within each item plus the item's offset in its shard.
 
@@ -24,6 +25,9 @@ repeated rows are rows; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -88,10 +92,12 @@ def shard_assignments(docs: DataFrame, *, shards: int = SHARDS, bundles: int = B
     spark = docs.sparkSession
     rows = _rows(docs, doc_id, text)
     groups = rows.withColumn("tokens", F.size(words_of(F.col("_text")))).groupBy(*KEY).agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))
-    total = docs.select(F.sum(F.octet_length(F.coalesce(F.col(text), F.lit(""))) + 1).alias("b")).first()["b"] or 0
-    least, most = max(1, -(-total // bundles)), max(1, total // (8 * shards))
-    # At most ``bundles`` groups reach ``least``.
-    heavy = groups.where(F.col("bytes") >= least).select(*KEY, F.ceil(F.col("bytes") / most).cast("long").alias("parts")).orderBy(*KEY).collect()
+    total = rows.select(F.sum("size").alias("bytes"), F.sum(F.size(words_of(F.col("_text")))).alias("tokens"), F.count("*").alias("rows")).first().asDict()
+    total = {k: n or 0 for k, n in total.items()}
+    # By each measure at most ``bundles`` groups reach its least.
+    reach = reduce(or_, [F.col(k) >= max(1, -(-n // bundles)) for k, n in total.items()])
+    parts = F.greatest(*[F.ceil(F.col(k) / max(1, n // (8 * shards))).cast("long") for k, n in total.items()])
+    heavy = groups.where(reach).select(*KEY, parts.alias("parts")).orderBy(*KEY).collect()
     first, listed = bundles, []
     for g in heavy:
         listed.append((g["content_a"], g["content_b"], first, g["parts"]))

@@ -179,6 +179,14 @@ def test_shards_are_balanced_and_hot_groups_split(spark):
     assert max(counts.values()) <= 1.2 * min(counts.values())
 
 
+def test_many_short_or_null_texts_are_split(spark):
+    rows = [(i, f"text {i} " + "x" * (i * 37 % 400), "en", "s", 0) for i in range(3000)] + [(5000 + i, None, "en", "s", 0) for i in range(1500)]
+    got = op10_sharding.shard_assignments(frame(spark, rows)).collect()
+    counts = Counter(r.shard for r in got)
+    assert len(counts) == 8 and max(counts.values()) <= 1.2 * min(counts.values())
+    assert max(Counter(r.item for r in got).values()) <= 1.5 * len(got) / 64  # what one task ranks
+
+
 def test_write_shards(spark, tmp_path):
     docs = frame(spark, [r for r in corpus() if r[0] is not None])
     op10_sharding.write_shards(docs, str(tmp_path / "out"))
