@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import truncate
+from ..scratch import Scratch
 
 DAMPING = 0.15
 
@@ -39,14 +42,15 @@ def dangling_mass(edges: DataFrame, f: float = DAMPING) -> DataFrame:
     return sinks.select(((1 - f) * F.col("share")).alias("loss"))
 
 
-def pagerank(edges: DataFrame, damping: float = (1 - DAMPING) ** 2, max_iter: int = 101, eps: float = 1e-4) -> DataFrame:
+def pagerank(edges: DataFrame, damping: float = (1 - DAMPING) ** 2, max_iter: int = 101, eps: float = 1e-4, told_of: Callable[[int, float, float], None] | None = None) -> DataFrame:
     """(id, rank) by power iteration with the rank of sinks spread over all vertices, until the squared distance of
     two iterations is under ``eps``.
 
     Damping a step by 1 - f, then again when the lost rank is handed out, is one step with damping (1 - f) ** 2; that is
-    the default. An iteration is one join with the constant links and one reliable checkpoint, which also yields the
-    distance and the next sink mass.
+    the default. An iteration is one join with the constant links and one written table, whose read yields the distance
+    and the next sink mass. ``told_of`` gets the number of each iteration, its distance and its seconds.
     """
+    scratch = Scratch(edges.sparkSession)
     links = _links(edges).persist()
     nodes = out_degree(edges).select("id", (F.col("out_degree") == 0).alias("sink")).persist()
     try:
@@ -55,15 +59,21 @@ def pagerank(edges: DataFrame, damping: float = (1 - DAMPING) ** 2, max_iter: in
         if not n:
             return nodes.select("id", F.lit(0.0).alias("rank"))
         ranks, lost = nodes.select("id", "sink", F.lit(1.0 / n).alias("rank")), first["sinks"] / n
-        for _ in range(max_iter):
+        step = None
+        for i in range(max_iter):
+            began = time.perf_counter()
             got = ranks.join(links, ranks["id"] == links["src"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("weight")).alias("got"))
             new = damping * (F.coalesce("got", F.lit(0.0)) + lost / n) + (1 - damping) / n
-            step = truncate(ranks.join(got, ranks["id"] == got["dst"], "left").select("id", "sink", new.alias("rank"), F.col("rank").alias("old")))
+            before, step = step, scratch.keep(ranks.join(got, ranks["id"] == got["dst"], "left").select("id", "sink", new.alias("rank"), F.col("rank").alias("old")))
             told = step.agg(F.sum(F.pow(F.col("rank") - F.col("old"), 2)).alias("distance"), F.coalesce(F.sum(F.when(F.col("sink"), F.col("rank"))), F.lit(0.0)).alias("lost")).first()
             ranks, lost = step.drop("old"), told["lost"]
+            if before is not None:
+                scratch.free(before)
+            if told_of:
+                told_of(i + 1, told["distance"], time.perf_counter() - began)
             if told["distance"] < eps:
                 break
-        return truncate(ranks.select("id", "rank"))
+        return scratch.keep(nodes.select("id", F.lit(1.0 / n).alias("rank"))) if step is None else ranks.select("id", "rank")
     finally:
         links.unpersist()
         nodes.unpersist()
@@ -75,11 +85,14 @@ def rank_order(ranks: DataFrame) -> DataFrame:
 
 
 def _rounds(links: DataFrame, ranks: DataFrame, rounds: int, base: float, keep: float) -> DataFrame:
+    scratch, links = Scratch(links.sparkSession), links.persist()
     for i in range(rounds):
         got = ranks.join(links, ranks["id"] == links["src"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("weight")).alias("got"))
         ranks = got.select(F.col("dst").alias("id"), (base + keep * F.col("got")).alias("rank"))
-        if i % 5 == 4:
-            ranks = truncate(ranks)
+        if i % 5 == 4 or i == rounds - 1:
+            ranks = scratch.keep(ranks)
+            scratch.only(ranks)
+    links.unpersist()
     return ranks
 
 

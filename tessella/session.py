@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 
@@ -23,10 +24,12 @@ def session(app: str = "tessella", master: str | None = None, **conf: str) -> Sp
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where the session names none (one machine) a temporary folder is made, and removed at exit.
+    Only where the session names none and runs in one process a temporary folder is made, and removed at exit.
     """
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not place:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that driver and executors share")
         made = tempfile.mkdtemp(prefix="tessella-")
         atexit.register(shutil.rmtree, made, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(f"file://{made}")
@@ -34,12 +37,6 @@ def shared_dir(spark: SparkSession) -> str:
     return place
 
 
-def truncate(df: DataFrame) -> DataFrame:
-    """``df`` computed and cut from its lineage by a reliable checkpoint, which outlives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def estimated_bytes(df: DataFrame) -> int:
     """The optimiser's size estimate; file sizes for scans, so it errs upwards for filters and joins."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
