@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import lines, whitespace_terms
@@ -21,6 +21,15 @@ def terms(docs: DataFrame, text: str = "text", *keep: str) -> DataFrame:
     return docs.select(*keep, F.explode(whitespace_terms(F.col(text))).alias("term"))
 
 
+def _runs(ordered: str) -> Column:
+    """array<struct<term, n>> of the runs of equal terms in an ordered array, in one pass over it."""
+    a = F.col(ordered)
+    starts = F.filter(F.transform(a, lambda x, i: F.when((i == 0) | (x != F.get(a, i - 1)), i)), lambda i: i.isNotNull())
+    return F.element_at(
+        F.transform(F.array(starts), lambda s: F.transform(s, lambda p, j: F.struct(F.get(a, p).alias("term"), (F.coalesce(F.get(s, j + 1), F.size(a)) - p).cast("long").alias("n")))), 1
+    )
+
+
 def _per_partition(docs: DataFrame, text: str) -> DataFrame:
     ship(docs.sparkSession)
 
@@ -51,7 +60,7 @@ def term_counts(docs: DataFrame, text: str = "text", strategy: str = "combine")
 
     combine: partial counts before the shuffle, which Spark plans by itself.
     shuffle_first: every occurrence is shuffled, then counted; for comparison.
-    per_line: counted in each line, then added up.
+    per_line: counted within each line's own row, then added up.
     per_partition: counted in each task by a bounded map, then added up.
     """
     if strategy == "combine":
@@ -59,9 +68,8 @@ def term_counts(docs: DataFrame, text: str = "text", strategy: str = "combine")
     if strategy == "shuffle_first":
         return terms(docs, text).repartition("term").groupBy("term").agg(F.count("*").alias("cnt"))
     if strategy == "per_line":
-        rows = docs.select(F.explode(lines(F.col(text))).alias("line")).withColumn("line_id", F.monotonically_increasing_id())
-        counted = terms(rows, "line", "line_id").groupBy("line_id", "term").agg(F.count("*").alias("n"))
-        return counted.groupBy("term").agg(F.sum("n").alias("cnt"))
+        rows = docs.select(F.explode(lines(F.col(text))).alias("line")).select(F.sort_array(whitespace_terms(F.col("line"))).alias("terms"))
+        return rows.select(F.explode(_runs("terms")).alias("run")).groupBy(F.col("run.term").alias("term")).agg(F.sum("run.n").alias("cnt"))
     if strategy == "per_partition":
         return _per_partition(docs, text)
     raise ValueError(f"strategy is one of {STRATEGIES}")
@@ -83,3 +91,9 @@ def top_terms(docs: DataFrame, n: int, text: str = "text") -> DataFrame:
 def lines_containing(docs: DataFrame, word: str, text: str = "text", *keep: str) -> DataFrame:
     """Lines that hold ``word`` anywhere, case-sensitive."""
     return docs.select(*keep, F.explode(lines(F.col(text))).alias("line")).where(F.col("line").contains(word))
+
+
+def hash_sample(df: DataFrame, share: float, *key: str) -> DataFrame:
+    """Rows whose key hashes below ``share``: a Bernoulli sample that depends on the key alone, with no driver or task state."""
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in key])), 1, 13), 16, 10).cast("double") / float(2**52)
+    return df.where(drawn < share)

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .counts import terms
 
+#: Documents in a part of a term's postings.
+PART = 100_000
+
 
 def postings_long(docs: DataFrame, doc: str, text: str = "text") -> DataFrame:
     """(term, doc, tf), one row per posting."""
@@ -14,17 +17,28 @@ def postings_long(docs: DataFrame, doc: str, text: str = "text") -> DataFrame:
 
 
 def postings(docs: DataFrame, doc: str, text: str = "text") -> DataFrame:
-    """(term, postings): documents in ascending order with their counts, as structs, so no delimiter can clash."""
+    """(term, postings): documents in ascending order with their counts, as structs, so no delimiter can clash.
+    A term is one row, which must hold its documents; ``postings_parts`` has no such bound."""
     pairs = postings_long(docs, doc, text).groupBy("term").agg(F.collect_list(F.struct("doc", "tf")).alias("postings"))
     return pairs.select("term", F.sort_array("postings").alias("postings"))
 
 
+def postings_parts(docs: DataFrame, doc: str, text: str = "text", part: int = PART) -> DataFrame:
+    """(term, part, postings): a term's postings in parts of about ``part`` documents, so that no term, however common,
+    has to fit in a row or a task. A document's part follows from a hash of its name and the term's document count."""
+    pairs = postings_long(docs, doc, text)
+    parts = pairs.groupBy("term").agg(F.ceil(F.count("*") / part).alias("parts")).where("parts > 1")
+    place = F.conv(F.substring(F.md5("doc"), 1, 13), 16, 10).cast("double") / float(2**52)
+    dealt = pairs.join(parts, "term", "left").select("term", "doc", "tf", F.floor(place * F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    return dealt.groupBy("term", "part").agg(F.sort_array(F.collect_list(F.struct("doc", "tf"))).alias("postings"))
+
+
 def rendered(index: DataFrame) -> DataFrame:
-    """(term, postings) with postings as doc:tf,doc:tf."""
-    return index.select("term", F.array_join(F.transform("postings", lambda p: F.concat(p["doc"], F.lit(":"), p["tf"].cast("string"))), ",").alias("postings"))
+    """``index`` with postings as doc:tf,doc:tf."""
+    return index.withColumn("postings", F.array_join(F.transform("postings", lambda p: F.concat(p["doc"], F.lit(":"), p["tf"].cast("string"))), ","))
 
 
 def postings_sorted(docs: DataFrame, doc: str, text: str = "text") -> DataFrame:
-    """The long form partitioned by term and ordered by term and document within a partition: a secondary sort,
-    for consumers that stream a term's postings without holding them."""
-    return postings_long(docs, doc, text).repartition("term").sortWithinPartitions("term", "doc")
+    """The long form ordered by term and document: a secondary sort, for consumers that stream a term's postings without
+    holding them. Ranges of both columns are dealt out, so a common term takes several partitions, one after the other."""
+    return postings_long(docs, doc, text).repartitionByRange("term", "doc").sortWithinPartitions("term", "doc")

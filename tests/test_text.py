@@ -36,3 +36,23 @@ def test_postings(spark):
 def test_unknown_strategy(spark):
     with pytest.raises(ValueError):
         counts.term_counts(spark.createDataFrame([("a",)], "text string"), strategy="x")
+
+
+def test_parts_hold_each_posting_once(spark):
+    docs = spark.createDataFrame([(f"d{i}", "x y" if i % 50 else "x x z") for i in range(500)], "doc string, text string")
+    rows = inverted_index.postings_parts(docs, "doc", part=20).collect()
+    by = {t: [p for r in rows if r["term"] == t for p in r["postings"]] for t in "xyz"}
+    assert {t: len(p) for t, p in by.items()} == {"x": 500, "y": 490, "z": 10}
+    assert len({p["doc"] for p in by["x"]}) == 500 and max(len(r["postings"]) for r in rows) < 45 and len([r for r in rows if r["term"] == "z"]) == 1
+
+
+def test_sorted_postings_split_a_common_term(spark):
+    docs = spark.createDataFrame([(f"d{i:04}", "x") for i in range(3000)], "doc string, text string")
+    df = inverted_index.postings_sorted(docs, "doc")
+    assert "rangepartitioning(term" in df._jdf.queryExecution().executedPlan().toString()
+    assert [r["doc"] for r in df.collect()] == [f"d{i:04}" for i in range(3000)]
+
+
+def test_line_counts_stay_in_their_row(spark):
+    plan = counts.term_counts(spark.createDataFrame([("a",)], "text string"), strategy="per_line")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
