@@ -27,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "inverted_index_source": q.inverted_source,
     "inverted_index_long": q.inverted_long,
     "inverted_index_sorted": q.inverted_sorted,
+    "inverted_index_parts": q.inverted_parts,
     "join_repartition": q.joining("shuffle_hash"),
     "join_merge": q.joining("merge"),
     "join_broadcast": q.joining("broadcast"),
@@ -48,4 +49,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pagerank_cycle": q.ranking(q.cycle_graph),
     "pagerank_simple10": q.pagerank_simple10,
     "pagerank_unnormalised50": q.pagerank_unnormalised50,
+    "text_lines": q.text_lines,
+    "text_keyed": q.text_keyed,
+    "text_relations": q.text_relations,
+    "text_edges": q.text_edges,
+    "text_adjacency": q.text_adjacency,
+    "text_postings": q.text_postings,
+    "generated_join": q.generated_join,
 }

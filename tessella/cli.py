@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import sys
 
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from .sources import generators, readers, sinks
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="tessella", description=__doc__)
     parser.add_argument("--master", default=None)
+    parser.add_argument("--reducers", type=int, default=None, help="tasks of every aggregation and join, and so files of the output")
+    parser.add_argument("--print", action="store_true", help="print the rows, too, in the output's order")
     sub = parser.add_subparsers(dest="command", required=True)
     p = sub.add_parser("wordcount")
     p.add_argument("input")
@@ -45,21 +48,31 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--seed", type=int, default=1)
     a = parser.parse_args(argv)
     spark = session(master=a.master)
+    if a.reducers:
+        spark.conf.set("spark.sql.shuffle.partitions", str(a.reducers))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    show = sinks.show_keyed if a.print else lambda df: None
     if a.command == "wordcount":
-        sinks.write_keyed(counts.term_counts(readers.read_lines(spark, a.input), "value", a.strategy).orderBy("term"), a.output)
+        out = counts.term_counts(readers.read_lines(spark, a.input), "value", a.strategy).orderBy("term")
     elif a.command == "invindex":
-        sinks.write_postings(inverted_index.postings(readers.read_lines(spark, a.input), "file", "value"), a.output)
+        index = inverted_index.postings(readers.read_lines(spark, a.input), "file", "value")
+        sinks.write_postings(index, a.output)
+        show(inverted_index.rendered(index))
+        return 0
     elif a.command == "join":
         r, s = readers.read_relations(spark, a.input)
-        sinks.write_keyed(joins.equi_join(r.withColumnRenamed("payload", "r_payload"), s.withColumnRenamed("payload", "s_payload"), "key", a.strategy), a.output)
+        out = joins.equi_join(r.withColumnRenamed("payload", "r_payload"), s.withColumnRenamed("payload", "s_payload"), "key", a.strategy)
     elif a.command == "theta":
         r, s = (t.select(F.col("key").cast("int").alias(f"{n}_key"), F.col("payload").alias(f"{n}_payload")) for n, t in zip("rs", readers.read_relations(spark, a.input), strict=True))
-        sinks.write_keyed(joins.theta_join(r, s, "r_key", "s_key", a.strategy), a.output)
+        out = joins.theta_join(r, s, "r_key", "s_key", a.strategy)
     elif a.command == "pagerank":
         edges = readers.read_adjacency(spark, a.input) if a.adjacency else readers.read_edges(spark, a.input)
-        sinks.write_keyed(graph.rank_order(graph.pagerank(edges, (1 - a.factor) ** 2, a.max_iter, a.eps)), a.output)
+        timed = lambda i, distance, seconds: print(f"iteration {i}: distance {distance:.3g}, {seconds * 1000:.0f} ms", file=sys.stderr)
+        out = graph.rank_order(graph.pagerank(edges, (1 - a.factor) ** 2, a.max_iter, a.eps, timed))
     else:
-        sinks.write_keyed(generators.relation(spark, a.kind, a.side, a.rows, a.seed), a.output)
+        out = generators.relation(spark, a.kind, a.side, a.rows, a.seed)
+    sinks.write_keyed(out, a.output)
+    show(out)
     return 0
 
 

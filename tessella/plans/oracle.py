@@ -5,6 +5,8 @@ from __future__ import annotations
 _TERMS = "SELECT {keep}unnest(list_filter(string_split_regex(text, '[ \\t\\n\\r\\f]+'), lambda x: x <> '')) AS term FROM documents"
 _COUNT = f"SELECT term, count(*) AS cnt FROM ({_TERMS.format(keep='')}) GROUP BY term"
 _LINES = "SELECT doc_id, unnest(string_split_regex(text, '\\r?\\n')) AS line FROM documents"
+_NUMBERED = "SELECT doc_id, unnest(string_split_regex(text, '\\r?\\n')) AS line, generate_subscripts(string_split_regex(text, '\\r?\\n'), 1) - 1 AS line_no FROM documents"
+_UNIFORM = f"(CAST('0x' || substr(md5({{key}}), 1, 13) AS BIGINT) / CAST({2**52} AS DOUBLE))"
 _SPACES = f"""SELECT term, count(*) AS cnt FROM (SELECT unnest(CASE WHEN line = '' THEN [''] WHEN rtrim(line, ' ') = '' THEN [] ELSE string_split(rtrim(line, ' '), ' ') END) AS term
 FROM ({_LINES})) {{where}} GROUP BY term"""
 
@@ -64,11 +66,21 @@ SQL: dict[str, str] = {
     "lines_containing": f"SELECT doc_id, line FROM ({_LINES}) WHERE contains(line, 'the')",
     "inverted_index": _postings("doc_id"),
     "inverted_index_source": _postings("source"),
+    "line_sample": f"SELECT doc_id, line_no, line FROM ({_NUMBERED}) WHERE {_UNIFORM.format(key="doc_id || ':' || line_no")} < 0.1",
+    "inverted_index_parts": f"""SELECT term, CAST(floor({_UNIFORM.format(key='doc')} * ceil(df / 200.0)) AS INT) AS part, string_agg(doc || ':' || tf, ',' ORDER BY doc) AS postings
+FROM (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM ({_POSTINGS_LONG})) GROUP BY 1, 2""",
+    "text_lines": f"SELECT line, count(*) AS n FROM ({_LINES}) GROUP BY line",
+    "text_keyed": "SELECT CAST(c_custkey AS VARCHAR) AS key, c_name || chr(9) || c_mktsegment AS payload FROM customer WHERE c_mktsegment <> 'BUILDING'",
+    "text_relations": "SELECT CAST(c_custkey AS VARCHAR) AS key, c_name, CAST(o_orderkey AS VARCHAR) AS o_orderkey FROM customer JOIN orders ON c_custkey = o_custkey",
+    "text_edges": _pagerank(_REGIONS),
+    "text_adjacency": _CYCLE,
+    "text_postings": _postings("doc_id"),
+    "generated_join": "SELECT CAST(age AS INT) AS age, true AS met FROM range(100) AS t(age)",
     **dict.fromkeys(("inverted_index_long", "inverted_index_sorted"), _POSTINGS_LONG),
     **dict.fromkeys(("join_repartition", "join_merge", "join_broadcast", "join_semi_reduced", "join_auto"), _JOIN),
     "join_dup_keys": "SELECT s_nationkey AS key, s_suppkey, c_custkey FROM supplier JOIN customer ON s_nationkey = c_nationkey",
-    "semi_filter": "SELECT o_custkey AS key, o_orderkey, o_totalprice FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)",
-    "anti_filter": "SELECT o_custkey AS key, o_orderkey, o_totalprice FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)",
+    "semi_filter": "SELECT doc_id AS key, lang, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)",
+    "anti_filter": "SELECT doc_id AS key, lang, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     **dict.fromkeys(("theta_gt", "theta_gt_ranges"), _THETA),
     "theta_gt_replicated": "SELECT p_partkey, p_size, n_nationkey FROM part JOIN nation ON p_size > n_nationkey",
     "vertices": f"WITH edges AS ({_PARTS}) {_NODES}",

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import lines
 from ..operators import counts, graph, inverted_index, joins
+from ..scratch import Scratch
+from ..sources import generators, readers, sinks
 from ..streaming.counts import stream_term_counts
 
 
@@ -44,7 +46,9 @@ def lines_containing(spark, sf_dir):
 
 
 def line_sample(spark, sf_dir):
-    return _documents(spark, sf_dir).select("doc_id", F.explode(lines(F.col("text"))).alias("line")).sample(False, 0.1, 5)
+    """A tenth of the lines, drawn by a hash of document and line number, so that any partitioning draws the same."""
+    rows = _documents(spark, sf_dir).select("doc_id", F.posexplode(lines(F.col("text"))).alias("line_no", "line"))
+    return counts.hash_sample(rows, 0.1, "doc_id", "line_no").select("doc_id", "line_no", "line")
 
 
 def inverted(spark, sf_dir):
@@ -63,6 +67,10 @@ def inverted_sorted(spark, sf_dir):
     return inverted_index.postings_sorted(_documents(spark, sf_dir), "doc_id")
 
 
+def inverted_parts(spark, sf_dir):
+    return inverted_index.rendered(inverted_index.postings_parts(_documents(spark, sf_dir), "doc_id", part=200))
+
+
 def _customers_orders(spark, sf_dir):
     r = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), "c_name")
     return r, _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), "o_orderkey", "o_totalprice")
@@ -81,19 +89,18 @@ def join_dup_keys(spark, sf_dir):
     return joins.equi_join(*_nations(spark, sf_dir), "key", "shuffle_hash")
 
 
-def _late_orders(spark, sf_dir):
-    """Customers, and orders under a key that half of the customers have."""
-    r, s = _customers_orders(spark, sf_dir)
-    return r.where("key % 2 = 0"), s
+def _labelled(spark, sf_dir):
+    """Labels, and documents, of which some have one."""
+    return _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key"), "quality"), _documents(spark, sf_dir).select(F.col("doc_id").alias("key"), "lang", "source")
 
 
 def semi_filter(spark, sf_dir):
-    r, s = _late_orders(spark, sf_dir)
+    r, s = _labelled(spark, sf_dir)
     return joins.semi_filter(s, r, "key")
 
 
 def anti_filter(spark, sf_dir):
-    r, s = _late_orders(spark, sf_dir)
+    r, s = _labelled(spark, sf_dir)
     return joins.anti_filter(s, r, "key")
 
 
@@ -169,3 +176,61 @@ def pagerank_simple10(spark, sf_dir):
 def pagerank_unnormalised50(spark, sf_dir):
     edges = spark.createDataFrame([("A", "D"), ("B", "A"), ("C", "A"), ("C", "B"), ("D", "A"), ("D", "C")], "src string, dst string")
     return _rounded(graph.pagerank_unnormalised(edges))
+
+
+# Text files: the tables written by the sinks and read back by the sources.
+
+
+def text_lines(spark, sf_dir):
+    """Lines and names: one folder for each language, as many times as a line is there."""
+    place = Scratch(spark).folder("lines")
+    docs = _documents(spark, sf_dir)
+    sinks.write_keyed(docs.select(F.explode(lines(F.col("text")))), place)
+    rows = readers.read_lines(spark, place)
+    return rows.where(F.col("file").startswith("part-")).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
+def text_keyed(spark, sf_dir):
+    """Keyed rows; customers of one segment are written as a key alone, which is no row."""
+    place = Scratch(spark).folder("keyed")
+    payload = F.when(F.col("c_mktsegment") != "BUILDING", F.concat_ws("\t", "c_name", "c_mktsegment"))
+    sinks.write_keyed(_table(spark, sf_dir, "customer").select("c_custkey", payload), place)
+    return readers.read_keyed(spark, place)
+
+
+def text_relations(spark, sf_dir):
+    """Two relations and another file in one directory, joined."""
+    scratch = Scratch(spark)
+    r, s = _customers_orders(spark, sf_dir)
+    for name, df in (("customersR.dat", r), ("ordersS.dat", s.select("key", "o_orderkey")), ("readme.txt", r)):
+        sinks.write_keyed(df, scratch.folder(f"both/{name}"))
+    left, right = readers.read_relations(spark, scratch.folder("both"))
+    return joins.equi_join(left.withColumnRenamed("payload", "c_name"), right.withColumnRenamed("payload", "o_orderkey"), "key", "shuffle_hash")
+
+
+def text_edges(spark, sf_dir):
+    """Edge list and back, ranked."""
+    place = Scratch(spark).folder("edges")
+    sinks.write_keyed(_regions(spark, sf_dir), place)
+    return _rounded(graph.pagerank(readers.read_edges(spark, place)))
+
+
+def text_adjacency(spark, sf_dir):
+    """Adjacency lists and back; vertices without targets have no edge."""
+    place = Scratch(spark).folder("adjacency")
+    sinks.write_adjacency(graph.adjacency(_cycle(spark, sf_dir)), place)
+    return readers.read_adjacency(spark, place)
+
+
+def text_postings(spark, sf_dir):
+    """Postings as text lines and back."""
+    place = Scratch(spark).folder("postings")
+    sinks.write_postings(inverted_index.postings(_documents(spark, sf_dir), "doc_id"), place)
+    return readers.read_keyed(spark, place).select(F.col("key").alias("term"), F.col("payload").alias("postings"))
+
+
+def generated_join(spark, sf_dir):
+    """The generators' relations by age, joined and counted: any seed gives a row for each age that both have."""
+    r, s = (generators.relation(spark, "age", side, rows) for side, rows in (("R", 1000), ("S", 10_000)))
+    joined = joins.equi_join(r.withColumnRenamed("payload", "r"), s.withColumnRenamed("payload", "s"), "key", "merge")
+    return joined.groupBy("key").agg(F.count("*").alias("n")).select(F.col("key").cast("int").alias("age"), (F.col("n") > 0).alias("met"))

@@ -25,9 +25,11 @@ def read_keyed(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_relations(spark: SparkSession, path: str, left: str = "R.dat", right: str = "S.dat") -> tuple[DataFrame, DataFrame]:
-    """The two relations of a directory, told apart by the ends of file names; other files are ignored."""
-    rows = parse_keyed(read_lines(spark, path))
-    return rows.where(F.col("file").endswith(left)).drop("file"), rows.where(F.col("file").endswith(right)).drop("file")
+    """The two relations of a directory, told apart by the ends of the names of its files, or of the folders in it that
+    hold their parts; other files are ignored."""
+    named = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(/part-[^/]*)?$", 1)
+    rows = parse_keyed(spark.read.option("recursiveFileLookup", "true").text(path).select("value", named.alias("relation")))
+    return rows.where(F.col("relation").endswith(left)).drop("relation"), rows.where(F.col("relation").endswith(right)).drop("relation")
 
 
 def read_edges(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -35,7 +35,7 @@ def test_generators(spark):
     assert names.count() == 50 and all(2.0 <= r["gpa"] <= 4.9 for r in marks.collect())
 
 
-def test_command_line(spark, tmp_path):
+def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "R.dat").write_text("1\tr1\n2\tr2\n")
     (tmp_path / "in" / "S.dat").write_text("1\ts1\n1\ts2\n")
@@ -50,3 +50,18 @@ def test_command_line(spark, tmp_path):
     assert "1\tR.dat:1,S.dat:2" in read("i")
     main(["pagerank", str(tmp_path / "in" / "R.dat"), str(tmp_path / "p")])
     assert len(read("p")) == 4
+    assert "iteration 1: distance" in capsys.readouterr().err
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    main(["--reducers", "3", "--print", "join", str(tmp_path / "in"), str(tmp_path / "r"), "--strategy", "merge"])
+    assert sorted(capsys.readouterr().out.split()) == sorted("1 r1 s1 1 r1 s2".split()) and read("r") == read("j")
+    main(["--print", "invindex", str(tmp_path / "in"), str(tmp_path / "i")])
+    assert "1\tR.dat:1,S.dat:2\n" in capsys.readouterr().out
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_relations_in_folders_of_parts(spark, tmp_path):
+    for name, text in (("xR.dat", "1\tr"), ("yS.dat", "1\ts"), ("z", "1\tz")):
+        spark.createDataFrame([(text,)], "value string").write.text(str(tmp_path / "both" / name))
+    r, s = readers.read_relations(spark, str(tmp_path / "both"))
+    assert [tuple(x) for x in r.collect()] == [("1", "r")] and [tuple(x) for x in s.collect()] == [("1", "s")]
