@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..scratch import Scratch, dropping
+from ..session import estimated_bytes
+
+__all__ = ["BLANK", "Scratch", "broadcast_if", "content_key", "dropping", "let", "nested", "once", "small", "table", "unnested", "unused", "words_of"]
 
 #: Words are runs of anything but space and the five ASCII controls tab to carriage return.
 BLANK = r"[\x20\x09-\x0D]+"
+#: Size of the files of a written table that may be broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,44 +45,27 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANK), "")
 
 
-def content_key(text: Column) -> list[Column]:
-    """Two hashes, 96 bits together, that stand for equal texts; null counts as its own text."""
-    return [F.xxhash64(text).alias("content_a"), F.hash(text).alias("content_b")]
-
+def content_key(*parts: Column) -> list[Column]:
+    """Two hashes, 96 bits together, that stand for equal texts (or other values); null counts as its own text."""
+    return [F.xxhash64(*parts).alias("content_a"), F.hash(*parts).alias("content_b")]
 
-class Scratch:
-    """Written tables in the shared folder, which cut the lineage of what is read back from them.
-
-    A lost executor costs a reread at most. Tables that a lazy result still
-    needs stay until the driver ends; ``drop`` removes those it does not need.
-    """
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/tessella-{uuid.uuid4().hex}", 0
-        atexit.register(self.drop)
+def nested(docs: DataFrame, **own: Column) -> DataFrame:
+    """All columns as one struct ``row``, so that no name of theirs can clash, beside those given."""
+    return docs.select(F.struct("*").alias("row"), *[c.alias(name) for name, c in own.items()])
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        path = self.path()
-        df.write.option("compression", "zstd").parquet(path)
-        kept = self.spark.read.schema(df.schema).parquet(path)
-        kept._kept_at = path
-        return kept
 
-    def free(self, *kept: DataFrame) -> None:
-        """Remove tables that ``keep`` returned and nothing reads any more."""
-        for df in kept:
-            self.drop(df._kept_at)
+def unnested(docs: DataFrame, **instead: Column) -> list[Column]:
+    """The columns of ``docs`` out of ``row``, some replaced."""
+    return [instead[c] if c in instead else F.col("row").getField(c).alias(c) for c in docs.columns]
 
-    def path(self) -> str:
-        self.n += 1
-        return f"{self.root}/{self.n:03d}"
 
-    def drop(self, path: str | None = None) -> None:
-        context = self.spark.sparkContext
-        if context._jsc is None or context._jsc.sc().isStopped():
-            return
-        where = context._jvm.org.apache.hadoop.fs.Path(path or self.root)
-        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column has."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def small(df: DataFrame, rows: int) -> bool:
@@ -87,6 +73,6 @@ def small(df: DataFrame, rows: int) -> bool:
     return df.count() <= rows
 
 
-def broadcast_if(df: DataFrame, rows: int) -> DataFrame:
-    """Hint a broadcast only where the written table is within a bound on its rows; otherwise the join shuffles."""
-    return F.broadcast(df) if small(df, rows) else df
+def broadcast_if(df: DataFrame, rows: int, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only where the written table is within bounds on its rows and bytes; otherwise the join shuffles."""
+    return F.broadcast(df) if estimated_bytes(df) <= size and small(df, rows) else df

@@ -28,7 +28,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         mark = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(_stars(both, True), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = scratch.keep(large)
+        large, before = scratch.keep(large), now
         least = _stars(large, False)
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         now = scratch.keep(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        scratch.free(before, large)

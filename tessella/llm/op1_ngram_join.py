@@ -43,7 +43,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import Scratch, broadcast_if, content_key
+from .batches import BATCH, slices
+from .common import Scratch, broadcast_if, content_key, dropping, nested, unnested
 from .components import components
 from .shingles import mixed, shingle_sets
 
@@ -57,11 +58,14 @@ VERIFY = 30
 BLOCK = 96
 #: Sets in a block of a hot list; larger blocks copy a set to fewer of them.
 DENSE_BLOCK = 512
+#: Shingles in a block of either kind, on average: blocks of long sets have fewer sets.
+BLOCK_SHINGLES = 1 << 20
+#: Shingles whose matrix is made at a time when sets are compared.
+_RANGE = 1 << 19
 #: Rows of (document, few numbers) that may be broadcast; about 50 bytes each.
 BROADCAST_ROWS = 500_000
 _SEEDS = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F))
 _ALL = 2**30
-_SLICE = 512
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -85,8 +89,7 @@ def _members(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, _SLICE):
-                part = batch.slice(lo, _SLICE)
+            for part in slices(batch, "text"):
                 sets = shingle_sets(_column(part, "text"), k)
                 sizes = [len(s) for s in sets]
                 sid = [_fingerprint(s) if len(s) else None for s in sets]
@@ -105,9 +108,8 @@ def _postings(docs: DataFrame, k: int, percent: int, extra: float | None, least:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for lo in range(0, batch.num_rows, _SLICE):
+            for part in slices(batch, "text"):
                 sids, sizes, tokens, levels = [], [], [], []
-                part = batch.slice(lo, _SLICE)
                 found = shingle_sets(_column(part, "text"), k)
                 for s, due in zip(found, _column(part, "sid").to_pylist() if meant else [None] * len(found), strict=True):
                     n = len(s)
@@ -128,22 +130,26 @@ def _postings(docs: DataFrame, k: int, percent: int, extra: float | None, least:
 
 
 def _common(sets: list[np.ndarray]) -> np.ndarray:
-    """Matrix of the sizes of intersections."""
+    """Matrix of the sizes of intersections, summed over ranges of shingles: bounded memory, however long the texts."""
     g = len(sets)
-    sizes = [len(s) for s in sets]
-    values, column = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(g), sizes)
-    shared = np.bincount(column, minlength=len(values)) > 1
-    number = np.cumsum(shared) - 1
-    row, column = row[shared[column]], number[column[shared[column]]]
     common = np.zeros((g, g), dtype=np.int64)
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    for lo in range(0, int(shared.sum()), 8192):  # bounded memory, however long the texts
-        a, b = np.searchsorted(column, [lo, lo + 8192])
-        dense = np.zeros((g, min(8192, int(column[b - 1]) - lo + 1)), dtype=np.float32)
-        dense[row[a:b], column[a:b] - lo] = 1
-        common += (dense @ dense.T).astype(np.int64)
+    ranges = 1 + sum(len(s) for s in sets) // _RANGE
+    cuts = [np.uint64(2**64 * r // ranges) for r in range(1, ranges)]
+    bounds = [np.concatenate([[0], np.searchsorted(s, cuts), [len(s)]]).astype(np.int64) if ranges > 1 else (0, len(s)) for s in sets]
+    for r in range(ranges):
+        own = [s[b[r] : b[r + 1]] for s, b in zip(sets, bounds, strict=True)]
+        values, column = np.unique(np.concatenate(own), return_inverse=True)
+        row = np.repeat(np.arange(g), [len(s) for s in own])
+        shared = np.bincount(column, minlength=len(values)) > 1
+        number = np.cumsum(shared) - 1
+        row, column = row[shared[column]], number[column[shared[column]]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for lo in range(0, int(shared.sum()), 4096):
+            a, b = np.searchsorted(column, [lo, lo + 4096])
+            dense = np.zeros((g, min(4096, int(column[b - 1]) - lo + 1)), dtype=np.float32)
+            dense[row[a:b], column[a:b] - lo] = 1
+            common += (dense @ dense.T).astype(np.int64)
     return common
 
 
@@ -185,8 +191,7 @@ def _groups(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[list[di
     """(rows, sets) of each run of rows with one ``block``; of those with one ``sid``, the first whose text has it."""
     at, rows, sets, seen = None, [], [], set()
     for batch in batches:
-        for lo in range(0, batch.num_rows, _SLICE):
-            part = batch.slice(lo, _SLICE)
+        for part in slices(batch, "text"):
             found = shingle_sets(_column(part, "text"), k)
             rest = part.drop_columns(["text"]).to_pylist()
             for row, s in zip(rest, found, strict=True):
@@ -208,9 +213,11 @@ def _edges(edges: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def _early(docs: DataFrame, sets: DataFrame, scratch: Scratch, k: int, percent: int, block: int) -> DataFrame:
     """Edges (a, b) of near copies that share a minimum hash, compared in blocks of about ``block`` sets."""
-    keys = sets.select("sid", "rep", F.posexplode(F.array("k0", "k1")).alias("j", "key"))
-    groups = keys.groupBy("j", "key").agg(F.count("*").alias("c")).where("c > 1")
-    met = keys.join(groups, ["j", "key"]).select("sid", "rep", F.xxhash64("j", "key", F.pmod(F.xxhash64("sid"), F.ceil(F.col("c") / block))).alias("block"))
+    keys = sets.select("sid", "rep", "n", F.posexplode(F.array("k0", "k1")).alias("j", "key"))
+    parts = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+    # Written, so that a join on a key that many sets share can be split.
+    groups = scratch.keep(keys.groupBy("j", "key").agg(F.count("*").alias("c"), parts.alias("parts")).where("c > 1").drop("c"))
+    met = keys.join(broadcast_if(groups, BROADCAST_ROWS), ["j", "key"]).select("sid", "rep", F.xxhash64("j", "key", F.pmod(F.xxhash64("sid"), F.col("parts"))).alias("block"))
     met = scratch.keep(met)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,11 +236,12 @@ def _dense(docs: DataFrame, sets: DataFrame, postings: DataFrame, left: DataFram
     Every list of a 1-prefix shingle is compared block by block, each pair under the first shingle that both prefixes
     hold; only edges come out, never pairs.
     """
-    own = postings.where("level = 1").join(left, "sid", "left_semi").select("sid", "token")
-    own = own.join(broadcast_if(comps, BROADCAST_ROWS), own["sid"] == comps["node"], "left").select("sid", "token", F.coalesce("label", "sid").alias("comp"))
+    own = postings.where("level = 1").join(left, "sid", "left_semi").select("sid", "n", "token")
+    own = own.join(broadcast_if(comps, BROADCAST_ROWS), own["sid"] == comps["node"], "left").select("sid", "n", "token", F.coalesce("label", "sid").alias("comp"))
     own = scratch.keep(own)
-    lists = own.groupBy("token").agg(F.ceil(F.count("*") / block).alias("blocks"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
-    met = own.join(lists, "token").withColumn("half", F.pmod(F.xxhash64("sid"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    parts = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+    lists = own.groupBy("token").agg(parts.alias("blocks"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").drop("x", "y")
+    met = own.join(broadcast_if(scratch.keep(lists), BROADCAST_ROWS), "token").withColumn("half", F.pmod(F.xxhash64("sid"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     met = met.select("sid", "comp", "token", "half", F.xxhash64("token", F.least("half", "other"), F.greatest("half", "other")).alias("block"))
     texts = _texts(docs, scratch.keep(left.join(sets.select("sid", "rep"), "sid").select("sid", "rep"))).select("sid", "text")
 
@@ -278,7 +286,8 @@ def _choose(levels: np.ndarray, costs: np.ndarray, hot: np.ndarray, most: int, p
 def _round(postings: DataFrame, comps: DataFrame, scratch: Scratch, percent: int, limit: int, extra: float | None) -> tuple[DataFrame, DataFrame]:
     """(pairs to verify, sets left for the next round) among the sets of ``postings``."""
     # Most shingles are in one set only. They are dropped first, so that little more than the fingerprints is shuffled for them.
-    several = postings.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+    # What a join reads of a common shingle can be split, because the other side is a written table.
+    several = scratch.keep(postings.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"))
     own = scratch.keep(postings.join(several, "token").select("sid", "n", "token", "level"))
     marked = own.join(broadcast_if(comps, BROADCAST_ROWS), own["sid"] == comps["node"], "left")
     marked = marked.select("sid", "n", "token", "level", F.coalesce("label", "sid").alias("comp"))
@@ -286,33 +295,30 @@ def _round(postings: DataFrame, comps: DataFrame, scratch: Scratch, percent: int
     stats = sums.agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count("*").alias("comps"), F.max_by("comp", "c").alias("main")).where("comps > 1")
     # Average partners in other components. Scans skip the main component on one side, so they visit at most this many.
     stats = stats.select("token", ((F.col("all") * F.col("all") - F.col("same")) / F.col("all")).alias("cost"), "main")
+    stats = scratch.keep(stats)
     held = marked.join(stats, "token").select("sid", "n", "comp", F.struct("token", "level", "cost", (F.col("comp") == F.col("main")).alias("main")).alias("p"))
     held = held.groupBy("sid", "n", "comp").agg(F.collect_list("p").alias("ps"))  # at most a document's own shingles
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
             lists = _column(batch, "ps")
-            flat = lists.flatten()
+            flat, size = lists.flatten(), lists.value_lengths().to_numpy()
             token, level, cost, main = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
-            ends = np.cumsum(lists.value_lengths().to_numpy())
-            for sid, n, comp, end, size in zip(_column(batch, "sid").to_pylist(), _column(batch, "n").to_pylist(), _column(batch, "comp").to_pylist(), ends.tolist(), lists.value_lengths().to_pylist(), strict=True):
-                s = slice(end - size, end)
+            sid, n, comp = (_column(batch, c).to_numpy() for c in ("sid", "n", "comp"))
+            ell, need, use = np.full(len(sid), _ALL, np.int32), np.zeros(len(sid), np.int32), np.zeros(len(token), bool)
+            for i, end in enumerate(np.cumsum(size).tolist()):
+                s = slice(end - int(size[i]), end)
                 hot = cost[s] > limit
-                need = (percent * n + 99) // 100
-                most = need if extra is None else max(1, int(0.01 * percent * extra * n))
-                l, m = _choose(level[s].astype(np.int64), cost[s], hot, most, percent) or (_ALL, 0)
-                use = ~hot & (level[s] <= l)
-                c = int(use.sum())
-                if not c and l == _ALL:  # still left for the next round
-                    for o, x in zip(out, ([0], [sid], [comp], [n], [0], [l], [m], [False]), strict=True):
-                        o.extend(x)
-                for o, x in zip(out, (token[s][use], [sid] * c, [comp] * c, [n] * c, level[s][use], [l] * c, [m] * c, main[s][use]), strict=True):
-                    o.extend(x)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(o), t) if o else pa.array([], t) for o, t in zip(out, kinds, strict=True)], names=["token", "sid", "comp", "n", "level", "ell", "need", "main"])
-
-    chosen = scratch.keep(held.mapInArrow(run, "token long, sid long, comp long, n int, level int, ell int, need int, main boolean"))
+                most = (percent * int(n[i]) + 99) // 100 if extra is None else max(1, int(0.01 * percent * extra * int(n[i])))
+                ell[i], need[i] = _choose(level[s].astype(np.int64), cost[s], hot, most, percent) or (_ALL, 0)
+                use[s] = ~hot & (level[s] <= ell[i])
+            row = np.repeat(np.arange(len(sid)), size)[use]
+            bare = np.flatnonzero((ell == _ALL) & (np.bincount(row, minlength=len(sid)) == 0))  # left for the next round
+            at, none = np.concatenate([row, bare]), len(bare)
+            columns = [np.concatenate([token[use], np.zeros(none, np.int64)]), sid[at], comp[at], n[at], np.concatenate([level[use], np.zeros(none, np.int32)]), ell[at], need[at], np.concatenate([main[use].astype(bool), np.zeros(none, bool)])]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "sid", "comp", "n", "level", "ell", "need", "main"])
+
+    chosen = scratch.keep(held.mapInArrow(run, "token long, sid long, comp long, n int, level int, ell int, need int, main boolean"), BATCH)
     left = scratch.keep(chosen.where(F.col("ell") == _ALL).select("sid").distinct())
     r, s = chosen.where("level > 0").alias("r"), chosen.where("level > 0 and not main").alias("s")
     small, large = F.least("r.n", "s.n"), F.greatest("r.n", "s.n")
@@ -332,7 +338,7 @@ def _round(postings: DataFrame, comps: DataFrame, scratch: Scratch, percent: int
     found = r.join(s, meet).select(F.least("r.sid", "s.sid").alias("a"), F.greatest("r.sid", "s.sid").alias("b"), raised.alias("needed"))
     pairs = found.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("needed").alias("needed")).where("c >= needed").select("a", "b")
     pairs = scratch.keep(pairs)
-    scratch.free(own, chosen)
+    scratch.free(several, own, stats, chosen)
     return pairs, left
 
 
@@ -345,8 +351,7 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, scratch: Scrat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, _SLICE):
-                part = batch.slice(lo, _SLICE)
+            for part in slices(batch, "text_a", "text_b"):
                 keep = []
                 for a, b, x, y in zip(_column(part, "a").to_pylist(), _column(part, "b").to_pylist(), shingle_sets(_column(part, "text_a"), k), shingle_sets(_column(part, "text_b"), k), strict=True):
                     both = len(np.intersect1d(x, y, assume_unique=True))
@@ -370,34 +375,35 @@ def _labelled(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, hot:
     ship(spark)
     scratch = Scratch(spark)
     besides = [c for c in docs.columns if c not in ("doc_id", "text")]
-    members = scratch.keep(_members(docs, words))
+    members = scratch.keep(_members(docs, words), BATCH)
     docs = docs.select("doc_id", "text")
     sets = members.where("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("k0").alias("k0"), F.max("k1").alias("k1"))
     sets = scratch.keep(sets)
     # Sets smaller than this link with equal ones only.
     least = -(-percent // (100 - percent)) if percent < 100 else _ALL
     wide = sets.where(F.col("n") >= least)
-    edges = scratch.keep(_early(docs, wide, scratch, words, percent, block))
+    edges = scratch.keep(_early(docs, wide, scratch, words, percent, block), BATCH)
     comps = scratch.keep(components(edges, scratch))
     copies = members.where("sid is not null").select("doc_id").join(sets.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti")
     copies = scratch.keep(copies.where("doc_id is not null").distinct())
     ones = docs.where("doc_id is not null").join(broadcast_if(copies, BROADCAST_ROWS), "doc_id", "left_anti")
-    postings = scratch.keep(_postings(ones, words, percent, extra, least))
+    postings = scratch.keep(_postings(ones, words, percent, extra, least), BATCH)
     pairs, left = _round(postings, comps, scratch, percent, hot, extra)
     scratch.free(postings)
     closer = edges
     if left.count():  # the length of a written table
         again = _texts(docs, scratch.keep(left.join(sets.select("sid", "rep"), "sid").select("sid", "rep")))
-        postings = scratch.keep(_postings(again, words, percent, None, least))
+        postings = scratch.keep(_postings(again, words, percent, None, least), BATCH)
         more, left = _round(postings, comps, scratch, percent, hot, None)
         pairs = scratch.keep(pairs.unionByName(more).distinct())
         if left.count():
-            closer = edges.unionByName(scratch.keep(_dense(docs, sets, postings, left, comps, scratch, words, percent, dense_block)))
-    links = scratch.keep(_verified(docs, sets, pairs, scratch, words, percent))
+            closer = edges.unionByName(scratch.keep(_dense(docs, sets, postings, left, comps, scratch, words, percent, dense_block), BATCH))
+    links = scratch.keep(_verified(docs, sets, pairs, scratch, words, percent), BATCH)
     final = scratch.keep(components(closer.unionByName(links), scratch)).select(F.col("node").alias("sid"), "label")
-    labelled = sets.join(final, "sid", "left").select("sid", "rep", F.coalesce("label", "sid").alias("label"))
-    ids = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))
-    ids = scratch.keep(labelled.join(ids, "label").select("sid", "component_id", "label"))
+    labelled = scratch.keep(sets.join(final, "sid", "left").select("sid", "rep", F.coalesce("label", "sid").alias("label")))
+    least_ids = scratch.keep(labelled.groupBy("label").agg(F.min("rep").alias("component_id")))
+    ids = scratch.keep(labelled.join(least_ids, "label").select("sid", "component_id", "label"))
+    scratch.only(members, ids)
     out = members.join(broadcast_if(ids, BROADCAST_ROWS), "sid", "left")
     own = F.when(F.col("sid").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "label", *besides)
@@ -406,23 +412,19 @@ def _labelled(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, hot:
 def one_of_each(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without those that a chain of links joins to a document of smaller id; rows that repeat a kept id with a
     linked text go, too. Where an id has several texts, each goes or stays by its own links."""
-    scratch = Scratch(docs.sparkSession)
-    keys = [F.col(doc_id).alias("doc_id"), *content_key(F.col(text))]
-    found = scratch.keep(_labelled(docs.select(F.col(text).alias("text"), *keys), words, percent))
-    row = ["doc_id", "content_a", "content_b"]
-    goes = scratch.keep(found.where("component_id <> doc_id").select(*[F.col(c).alias(f"_gone_{c}") for c in row]).distinct())
-    same = [docs[doc_id] == goes["_gone_doc_id"], *[k == goes[f"_gone_{c}"] for k, c in zip(content_key(docs[text]), row[1:], strict=True)]]
-    kept = docs.join(broadcast_if(goes, BROADCAST_ROWS), same, "left_anti")
+    scratch, row = Scratch(docs.sparkSession), ["doc_id", "content_a", "content_b"]
+    keys = {"doc_id": F.col(doc_id)} | dict(zip(row[1:], content_key(F.col(text)), strict=True))
+    with dropping():
+        found = scratch.keep(_labelled(docs.select(F.col(text).alias("text"), *[c.alias(k) for k, c in keys.items()]), words, percent))
+    goes = scratch.keep(found.where("component_id <> doc_id").select(*row).distinct())
+    kept = nested(docs, **keys).join(broadcast_if(goes, BROADCAST_ROWS), row, "left_anti")
     stay = found.where("component_id = doc_id")
-    many = stay.groupBy("doc_id", "label").count().where("count > 1").select(F.col("doc_id").alias("_i"), F.col("label").alias("_l"))
+    many = stay.groupBy("doc_id", "label").count().where("count > 1").select(F.col("doc_id").alias("i"), F.col("label").alias("l"))
     if many.limit(1).count():
-        many = stay.join(many, (F.col("doc_id") == F.col("_i")) & F.col("label").eqNullSafe(F.col("_l"))).select(*[F.col(c).alias(f"_many_{c}") for c in row], F.col("label").alias("_many_label")).distinct()
-        many = scratch.keep(many)
-        same = [F.col(doc_id) == F.col("_many_doc_id"), *[k == F.col(f"_many_{c}") for k, c in zip(content_key(F.col(text)), row[1:], strict=True)]]
-        told = kept.join(broadcast_if(many, BROADCAST_ROWS), same, "left")
-        once = told.where("_many_doc_id is not null").dropDuplicates([doc_id, "_many_label"])
-        kept = told.where("_many_doc_id is null").unionByName(once).select(*docs.columns)
-    return kept
+        many = stay.join(many, (F.col("doc_id") == F.col("i")) & F.col("label").eqNullSafe(F.col("l"))).select(*row, "label", F.lit(True).alias("many")).distinct()
+        told = kept.join(broadcast_if(scratch.keep(many), BROADCAST_ROWS), row, "left")
+        kept = told.where("many is null").select("row").unionByName(told.where("many").dropDuplicates(["doc_id", "label"]).select("row"))
+    return kept.select(*unnested(docs))
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -48,11 +48,9 @@ def _raised(n: int) -> list[np.ndarray]:
     return out
 
 
-def _group(data: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document, shingle) of the documents that lie between consecutive bounds of the bytes."""
+def _words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprint, document) of each word of the documents that begin at these places of the bytes."""
     n = len(data)
-    if not n:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
     up, down = _power(n)
     word = ~_SPACE[data]
     edge = np.zeros(n + 1, dtype=bool)
@@ -65,7 +63,32 @@ def _group(data: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(_BYTES[data] * up, out=sums[1:])
     words = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    own = np.searchsorted(bounds, starts, side="right") - 1
+    return words, np.searchsorted(bounds, starts, side="right") - 1
+
+
+def _long_words(data: np.ndarray) -> np.ndarray:
+    """The words of one long document, read in pieces that end at a space."""
+    found, lo, n = [], 0, len(data)
+    while lo < n:
+        hi, near = min(n, lo + _GROUP), lo
+        while hi < n and not (spaces := np.flatnonzero(_SPACE[data[near:hi]])).size:
+            near, hi = hi, min(n, hi + _GROUP)  # a word longer than a piece
+        if hi < n:
+            hi = near + int(spaces[-1]) + 1
+        found.append(_words(data[lo:hi], np.zeros(1, dtype=np.int64))[0])
+        lo = hi
+    return np.concatenate(found)
+
+
+def _group(data: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, shingle) of the documents that begin at these places of the bytes."""
+    if not len(data):
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    if len(bounds) == 1 and len(data) > _GROUP:
+        words = _long_words(data)
+        own = np.zeros(len(words), dtype=np.int64)
+    else:
+        words, own = _words(data, bounds)
     m = len(words) - k + 1
     whole = np.zeros(0, dtype=bool)
     h, at = np.empty(0, np.uint64), np.empty(0, np.int64)

@@ -44,9 +44,20 @@ def frame(spark, rows=None, repeat=False):
     return spark.createDataFrame(rows + rows[:5] if repeat else rows, DOCS).repartition(3)
 
 
+TAKEN = (
+    "n_words kept shard length component_id copy rate score token size words line n_shingles row drop left content_a content_b host bad share base windows symbols dup_lines "
+    "key times order pieces cdf _source many i l label item fixed bucket at offset first parts sid k0 k1 rep block _chunk _rank piece start vector cid list codes error probes id h2 l2 rhost "
+    "rcontent_a _drop d_a d_b _content_a _content_b _left _pieces _cdf _times _order _bad _host _base _words _share _text _at _gone_doc_id _many_label first_content_a leaf template whole documents normal"
+).split()
+
+
 def clashing(df):
-    """Columns whose names the operators use inside."""
+    """With columns whose names the operators use inside, or have used."""
     from pyspark.sql import functions as F
 
-    extra = ["n_words", "kept", "shard", "length", "component_id", "n_lines", "copy", "rate", "score", "token", "size", "words", "line"]
-    return df.select("*", *[F.lit("own").alias(c) for c in extra])
+    return df.select("*", *[F.lit(f"own {c}").alias(c) for c in TAKEN if c not in df.columns])
+
+
+def untouched(rows, but=()):
+    """Whether those columns came through by value."""
+    return all(r[c] == f"own {c}" for r in rows for c in TAKEN if c not in but)

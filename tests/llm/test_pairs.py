@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from fixtures import clashing, corpus, frame, prose, words
+from fixtures import clashing, corpus, frame, prose, untouched, words
 
 from tessella.llm import op1_ngram_join as op1
 from tessella.llm import op7_embedding_dedup as op7
@@ -92,12 +92,49 @@ def test_dense_blocks_alone_lose_no_link(spark, monkeypatch):
     assert {tuple(r) for r in got} == expected(rows, 3, 80)
 
 
+def test_common_by_ranges_and_bounded_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 300, n).astype(np.uint64) << np.uint64(55)) for n in (1, 5, 40, 80, 200, 0, 90)]
+    monkeypatch.setattr(op1, "_RANGE", 16)
+    apart = ~np.eye(len(sets), dtype=bool)
+    assert (op1._common(sets) == [[len(np.intersect1d(a, b)) for b in sets] for a in sets])[apart].all()
+    monkeypatch.setattr(op1, "BLOCK_SHINGLES", 500)
+    rows = family(5)
+    got = op1.similarity_components(frame(spark, rows), words=3, percent=80, hot=2, block=8, dense_block=16).collect()
+    assert {tuple(r) for r in got} == expected(rows, 3, 80)
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    from tessella.llm import shingles as sh
+
+    rng = __import__("random").Random(1)
+    texts = [prose(rng, 400), "x" * 900, "", "a" * 300 + " b " + "c" * 500 + "\n\t d", "  ", " ".join("ab" for _ in range(300)), "tail " * 100 + "é" * 200]
+    whole = sh.shingle_sets(pa.array(texts), 3)
+    monkeypatch.setattr(sh, "_GROUP", 128)
+    monkeypatch.setattr(sh, "_powers", [])
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(whole, sh.shingle_sets(pa.array(texts), 3), strict=True))
+
+
+def test_slices_by_bytes():
+    import pyarrow as pa
+
+    from tessella.llm.batches import slices
+
+    batch = pa.record_batch({"t": ["a" * n if n is not None else None for n in (3, 3, 50, 1, None, 0, 2, 9, 1)], "u": [None] * 8 + ["zz"]})
+    parts = [p.column(0).to_pylist() for p in slices(batch, "t", "u", rows=4, size=10)]
+    assert sum(parts, []) == batch.column(0).to_pylist() and [len(p) for p in parts] == [2, 1, 4, 1, 1]
+
+
 def test_join_odd_inputs(spark):
     empty = frame(spark).limit(0)
     assert op1.similarity_components(empty).count() == 0
     twice = frame(spark, corpus()[:9], repeat=True)
     assert op1.similarity_components(twice).count() == 14 and op1.one_of_each(twice).count() == 9
-    kept = {r.doc_id for r in op1.one_of_each(frame(spark)).collect()}
+    rows = op1.one_of_each(clashing(frame(spark))).collect()
+    kept = {r.doc_id for r in rows}
+    assert untouched(rows)
     assert 9 in kept and not kept & set(range(200, 208)) and None in kept
 
 
@@ -148,6 +185,38 @@ def test_embeddings_recall_with_few_probes(spark):
     assert true > 500 and 0.9 * true <= found <= true
 
 
+def test_embeddings_of_several_lengths(spark):
+    x, y = vectors(1, 300, 16)[:200], vectors(2, 300, 24)[:150, :8]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, v.tolist()) for i, v in enumerate(y)] + [(5000, [1.0, 2.0, 3.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in op7.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), lists=8, probes=8).collect()}
+    assert len(got) == 351 and got[5000] == (0, 5000)
+    for base, own in ((0, x), (1000, y)):
+        unit = own.astype(float) / np.linalg.norm(own.astype(float), axis=1)[:, None]
+        near = unit @ unit.T >= 0.95
+        assert near.sum() > len(own) + 100
+        comp = {i: min(g) for g in groups(len(own), lambda i, j, near=near: near[i, j]) for i in g}
+        assert all(got[base + i] == (near[i].sum() - 1, base + comp[i]) for i in range(len(own)))
+
+
+def test_skipped_lists_hold_no_link():
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(300, 12))
+    x = op7._unit(np.concatenate([base, base + rng.normal(size=base.shape) * 0.08])).astype(np.float32)
+    q = op7.Quantiser(x, 40)
+    near, may = q.lists(x, 40, op7._reach(0.95))
+    own, allowed = near[:, 0], [set(n[m].tolist()) for n, m in zip(near, may, strict=True)]
+    i, j = np.nonzero(x.astype(float) @ x.T.astype(float) >= 0.95)
+    assert len(i) > 1000 and all(own[b] in allowed[a] for a, b in zip(i, j, strict=True)) and may.mean() < 0.9
+
+
+def test_centres_within_clusters(monkeypatch):
+    monkeypatch.setattr(op7, "_FLAT", 8)
+    x = np.random.default_rng(3).normal(size=(500, 6)).astype(np.float32)
+    centres = op7._centres(x, 49, 1)
+    assert 40 <= len(centres) <= 56 and np.isfinite(centres).all()
+    assert op7._nearest(x, centres).min(axis=1).mean() < op7._nearest(x, op7._kmeans(x, 4, 8, 1)).min(axis=1).mean()
+
+
 def test_embeddings_empty(spark):
     assert op7.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     alone = op7.near_duplicates(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")).first()
