@@ -6,18 +6,23 @@ documents reach, a token is fixed if enough of them have it at its position,
 and a variable field otherwise; the line's template is its fixed tokens with
 fields between. Templates that are mostly fixed and recur in enough distinct
 documents are dropped from all documents but the one with the smallest id.
+A long line (a passage) is also a template as it stands, with no field but its
+tokens with digits, and recurs in fewer documents.
 
 The tree is a sequence of aggregations keyed by hashes of leaf, position and
 template: nothing is gathered per leaf or template, a common line is
 pre-aggregated before each shuffle, and only lines in recurring leaves get as
-far as having their tokens exploded.
+far as having their tokens exploded. Lines are parsed once. Where rows of a
+common line or template meet its own row, that row comes from a written table,
+so that it is broadcast or the join can be split.
 
 Defined results
 - null text: stays null, no lines; null ids sort before others.
 - documents of equal text count, and keep their lines, as one: whole copies are
-  another operator's work.
+  another operator's work. With ``equal_texts_once`` false every (id, text) counts.
 - lines of fewer than ``min_tokens`` tokens are never templates, so blank lines stay.
-- repeated rows come back as often; an empty table gives no rows; other columns are kept.
+- repeated rows come back as often; an empty table gives no rows.
+- other columns are kept, whatever their names; ``n_lines`` and ``n_dropped`` are added, and replaced if present.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK, Scratch, broadcast_if, content_key, let, once, small, words_of
+from .common import BLANK, Scratch, broadcast_if, content_key, let, nested, once, unnested
 
 MIN_TOKENS = 3
 #: Leading tokens in a path of the tree; with the token count its depth is one more.
@@ -33,10 +38,10 @@ LEADING = 3
 MIN_DOCUMENTS = 5
 #: Least share of a template's tokens that is fixed.
 MIN_FIXED = 0.7
-#: Documents with lines to drop that may be broadcast; about 100 bytes each.
-BROADCAST_ROWS = 200_000
-#: Documents that are compared with one copy of the text that keeps their lines.
-PER_COPY = 500
+#: Tokens from which a line is a template as it stands, and documents in which it recurs then.
+LONG_TOKENS, LONG_DOCUMENTS = 50, 2
+#: Documents with lines to drop that may be broadcast, and leaves, lines or templates.
+BROADCAST_ROWS, BROADCAST_KEYS = 200_000, 1_000_000
 FIELD = "<*>"
 KEY = ["content_a", "content_b"]
 
@@ -58,31 +63,41 @@ def _line_key(line: Column) -> Column:
     return F.xxhash64(_normal(line))
 
 
-def _parsed(docs: DataFrame, doc_id: str, text: str, min_tokens: int, leading: int) -> DataFrame:
-    """(id, content, leaf, line, normal), one row for each line long enough."""
-    whole = docs.select(F.col(doc_id).alias("id"), *content_key(F.col(text)), F.split(F.col(text), "\n").alias("lines"))
+def _keys(text: Column, doc_id: Column, equal_texts_once: bool) -> dict[str, Column]:
+    return dict(zip(KEY, content_key(text) if equal_texts_once else content_key(text, doc_id), strict=True))
+
+
+def _parsed(docs: DataFrame, doc_id: str, text: str, min_tokens: int, leading: int, equal_texts_once: bool) -> DataFrame:
+    """(id, content, n, leaf, line, normal), one row for each line long enough."""
+    keys = _keys(F.col(text), F.col(doc_id), equal_texts_once)
+    whole = docs.select(F.col(doc_id).alias("id"), *[c.alias(k) for k, c in keys.items()], F.split(F.col(text), "\n").alias("lines"))
     rows = whole.select("id", *KEY, F.explode("lines").alias("raw"))  # the keys are made before, once a document
     rows = rows.select("id", *KEY, once(_normal(F.col("raw"))).alias("normal"))
     count = F.length("normal") - F.length(F.replace("normal", F.lit(" "), F.lit(""))) + 1
     rows = rows.withColumn("n", count).where(F.col("n") >= min_tokens)
-    return rows.select("id", *KEY, F.xxhash64("n", F.substring_index("normal", " ", leading)).alias("leaf"), F.xxhash64("normal").alias("line"), "normal")
+    return rows.select("id", *KEY, "n", F.xxhash64("n", F.substring_index("normal", " ", leading)).alias("leaf"), F.xxhash64("normal").alias("line"), "normal")
 
 
-def _documents(rows: DataFrame, key: list[str]) -> DataFrame:
+def _documents(rows: DataFrame, *key: str) -> DataFrame:
     """Distinct documents for each key, deduplicated on both sides of the shuffle."""
     return rows.select(*key, *KEY).distinct().groupBy(*key).agg(F.count("*").alias("documents"))
 
 
-def recurring_templates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_documents: int = MIN_DOCUMENTS, min_tokens: int = MIN_TOKENS, leading: int = LEADING, min_fixed: float = MIN_FIXED, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
-    """(templates, lines): leaf, template, words, documents and first id of each recurring template; and its lines by document."""
-    scratch = scratch or Scratch(docs.sparkSession)
-    rows = _parsed(docs, doc_id, text, min_tokens, leading)
-    leaves = scratch.keep(_documents(rows, ["leaf"]).where(F.col("documents") >= min_documents).select("leaf"))
+def recurring_templates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_documents: int = MIN_DOCUMENTS, min_tokens: int = MIN_TOKENS, leading: int = LEADING, min_fixed: float = MIN_FIXED, long_tokens: int = LONG_TOKENS, long_documents: int = LONG_DOCUMENTS, equal_texts_once: bool = True, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+    """(templates, lines): leaf, template, whole (a long line as it stands), words, documents and first document of each
+    recurring template; and the lines that have a template, by document. Both are written tables."""
+    scratch, template = scratch or Scratch(docs.sparkSession), ["leaf", "template", "whole"]
+    rows = scratch.keep(_parsed(docs, doc_id, text, min_tokens, leading, equal_texts_once))
+    least = F.when(F.col("n") >= long_tokens, min(long_documents, min_documents)).otherwise(min_documents)
+    leaves = _documents(rows, "leaf", "n").where(F.col("documents") >= least)
+    leaves = scratch.keep(leaves.select("leaf", (F.col("documents") >= min_documents).alias("wide")))
     # A line travels once for each document that holds it, in recurring leaves only.
-    held = rows.join(broadcast_if(leaves, 1_000_000), "leaf", "left_semi").groupBy("leaf", "line", *KEY).agg(F.min("id").alias("id"), F.first("normal").alias("normal"))
+    held = rows.join(broadcast_if(leaves, BROADCAST_KEYS), "leaf").groupBy("leaf", "line", *KEY).agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("wide").alias("wide"), F.first("normal").alias("normal"))
     held = scratch.keep(held)
-    lines = held.groupBy("leaf", "line").agg(F.count("*").alias("documents"), F.split(F.first("normal"), " ").alias("tokens"))
-    spread = lines.select("leaf", "line", "documents", F.posexplode("tokens").alias("pos", "token"))
+    scratch.free(rows)
+    lines = held.groupBy("leaf", "line").agg(F.count("*").alias("documents"), F.first("n").alias("n"), F.first("wide").alias("wide"), F.first("normal").alias("normal"))
+    lines = scratch.keep(lines)
+    spread = lines.where("wide").select("leaf", "line", "documents", F.posexplode(F.split("normal", " ")).alias("pos", "token"))
     common = spread.groupBy("leaf", "pos", "token").agg(F.sum("documents").alias("n")).where(F.col("n") >= min_documents).drop("n")
     fixed = spread.join(common.withColumn("fixed", F.lit(True)), ["leaf", "pos", "token"], "left")
     shown = F.when(F.col("fixed"), F.col("token")).otherwise(FIELD)
@@ -90,98 +105,41 @@ def recurring_templates(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
         F.transform(F.sort_array(F.collect_list(F.struct("pos", shown.alias("t")))), lambda x: x["t"]).alias("words"),
         F.count(F.when(F.col("fixed") & (F.col("token") != FIELD), 1)).alias("n_fixed"),
     )
-    made = made.where(F.col("n_fixed") >= F.size("words") * min_fixed).select("leaf", "line", F.array_join("words", " ").alias("words"))
-    made = made.withColumn("template", F.xxhash64("words"))
-    matched = scratch.keep(held.drop("normal").join(made, ["leaf", "line"]))
-    # The first of a template's documents, and with it the content that keeps its lines.
-    first = matched.groupBy("leaf", "template").agg(F.min(F.struct("id", *KEY)).alias("first"), F.first("words").alias("words"))
-    enough = _documents(matched, ["leaf", "template"]).where(F.col("documents") >= min_documents)
-    return first.join(enough, ["leaf", "template"]), matched.drop("words")
-
-
-def _shingles(text: Column, k: int) -> Column:
-    """Distinct hashes of the runs of k words, as the n-gram join forms them: A-Z in lower case, a shorter text as one run."""
-    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-    def runs(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - k, F.lit(0))), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)]))
-
-    return let(words_of(low), lambda w: F.array_distinct(F.when(F.size(w) > 0, runs(w)).otherwise(F.array().cast("array<bigint>"))))
-
-
-def _without(text: Column, drop: Column) -> Column:
-    return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(drop, _line_key(x))), "\n")
-
-
-def _spared(keyed: DataFrame, joined: DataFrame, others: DataFrame, drops: DataFrame, lost: Column, doc_id: str, text: str, near: tuple[int, int], scratch: Scratch) -> DataFrame:
-    """(s_a, s_b, _own): documents and the lines they keep, as near copies of a document that keeps these lines.
-
-    Of the documents for which ``lost`` holds, each is compared, as it would come out, with the one that keeps most of
-    its words, as that comes out. Only documents that are not spared themselves count as such, so the two are still
-    similar enough in the result.
-    """
-    k, percent = near
-    heavy = joined.where(F.col("_drop").isNotNull() & lost).groupBy("d_a", "d_b")
-    heavy = heavy.agg(F.first(text).alias("text"), F.first("_drop").alias("_drop"), F.max(F.col(doc_id).isNull()).alias("unnamed"))
-    heavy = scratch.keep(heavy.where("not unnamed").drop("unnamed"))  # a near-duplicate operator links no null ids
-    named = others.where("f_id is not null").select(F.col("content_a").alias("d_a"), F.col("content_b").alias("d_b"), "f_a", "f_b", "line", "n")
-    held = named.join(broadcast_if(heavy.select("d_a", "d_b"), BROADCAST_ROWS), ["d_a", "d_b"], "left_semi")
-    held = held.groupBy("d_a", "d_b", "f_a", "f_b").agg(F.sum("n").alias("n"), F.collect_set("line").alias("_own"))
-    best = held.groupBy("d_a", "d_b").agg(F.max(F.struct("n", "f_a", "f_b", "_own")).alias("b")).select("d_a", "d_b", "b.f_a", "b.f_b", "b._own")
-    best = scratch.keep(best)
-    firsts = best.groupBy("f_a", "f_b").agg(F.ceil(F.count("*") / PER_COPY).alias("copies"))
-    whole = keyed.join(firsts, (F.col("_content_a") == F.col("f_a")) & (F.col("_content_b") == F.col("f_b"))).groupBy("f_a", "f_b", "copies").agg(F.first(text).alias("f_text"))
-    whole = whole.join(drops.select(F.col("d_a").alias("f_a"), F.col("d_b").alias("f_b"), "_drop"), ["f_a", "f_b"], "left")
-    whole = whole.select("f_a", "f_b", "copies", F.when(F.col("_drop").isNull(), F.col("f_text")).otherwise(_without(F.col("f_text"), F.col("_drop"))).alias("f_text"))
-    copies = whole.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).select("f_a", "f_b", "copy", "f_text")
-    ones = heavy.join(best, ["d_a", "d_b"]).join(firsts, ["f_a", "f_b"]).withColumn("copy", F.pmod(F.col("d_a"), F.col("copies")))
-    pairs = ones.join(copies, ["f_a", "f_b", "copy"]).select("d_a", "d_b", "f_a", "f_b", "_own", once(_shingles(_without(F.col("text"), F.array_except("_drop", "_own")), k)).alias("x"), once(_shingles(F.col("f_text"), k)).alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    found = scratch.keep(pairs.where((both > 0) & (both * 100 >= (F.size("x") + F.size("y") - both) * percent)).drop("x", "y"))
-    also = found.select(F.col("d_a").alias("f_a"), F.col("d_b").alias("f_b"))
-    return scratch.keep(found.join(also, ["f_a", "f_b"], "left_anti").select(F.col("d_a").alias("s_a"), F.col("d_b").alias("s_b"), "_own"))
-
-
-def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_documents: int = MIN_DOCUMENTS, min_tokens: int = MIN_TOKENS, leading: int = LEADING, min_fixed: float = MIN_FIXED, max_lost: float = 1.0, near: tuple[int, int] | None = None) -> DataFrame:
-    """``docs`` with recurring lines dropped from the text, and ``n_lines`` and ``n_dropped`` (replaced if present).
-
-    A document that would lose more than ``max_lost`` of its words keeps them all: below 1, near copies of one another
-    are left whole for a near-duplicate operator, instead of being cut down to the lines in which they differ. With
-    ``near``, (words of a shingle, least Jaccard similarity in percent), only a document that comes out that similar to
-    one of smaller id keeps anything, and of its lines those that this one keeps.
-    """
+    made = made.where(F.col("n_fixed") >= F.size("words") * min_fixed).select("leaf", "line", F.array_join("words", " ").alias("words"), F.lit(False).alias("whole"))
+    solid = F.size(F.filter(F.split("normal", " "), lambda x: x != FIELD)) >= F.col("n") * min_fixed
+    passages = lines.where((F.col("n") >= long_tokens) & (F.col("documents") >= long_documents) & solid).select("leaf", "line", F.col("normal").alias("words"), F.lit(True).alias("whole"))
+    made = scratch.keep(made.unionByName(passages).withColumn("template", F.xxhash64("words")))
+    matched = held.select("leaf", "line", "id", *KEY).join(broadcast_if(made.drop("words"), BROADCAST_KEYS), ["leaf", "line"])
+    matched = scratch.keep(matched)
+    scratch.free(held, lines)
+    # The first of a template's documents is the content that keeps its lines.
+    first = matched.groupBy(*template).agg(F.min(F.struct("id", *KEY)).alias("first"))
+    enough = _documents(matched, *template).where(F.col("documents") >= F.when(F.col("whole"), long_documents).otherwise(min_documents))
+    said = made.groupBy(*template).agg(F.first("words").alias("words"))
+    return scratch.keep(first.join(enough, template).join(said, template)), matched
+
+
+def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_documents: int = MIN_DOCUMENTS, min_tokens: int = MIN_TOKENS, leading: int = LEADING, min_fixed: float = MIN_FIXED, long_tokens: int = LONG_TOKENS, long_documents: int = LONG_DOCUMENTS, equal_texts_once: bool = True, n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
+    """``docs`` with recurring lines dropped from the text, and columns of these names with its lines and those dropped."""
     scratch = Scratch(docs.sparkSession)
-    templates, lines = recurring_templates(docs, doc_id=doc_id, text=text, min_documents=min_documents, min_tokens=min_tokens, leading=leading, min_fixed=min_fixed, scratch=scratch)
-    keep = templates.select("leaf", "template", F.col("first.id").alias("f_id"), F.col("first.content_a").alias("f_a"), F.col("first.content_b").alias("f_b"), F.size(F.split("words", " ")).alias("n"))
-    others = lines.join(keep, ["leaf", "template"]).where((F.col("content_a") != F.col("f_a")) | (F.col("content_b") != F.col("f_b")))
-    if near and max_lost < 1.0:
-        others = scratch.keep(others)
-    drops = scratch.keep(others.groupBy(F.col("content_a").alias("d_a"), F.col("content_b").alias("d_b")).agg(F.collect_set("line").alias("_drop")))
-    keyed = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], *[c.alias(f"_{k}") for k, c in zip(KEY, content_key(F.col(text)), strict=True)])
-    all_lines = F.split(F.col(text), "\n")
-    left = F.filter(all_lines, lambda x: ~F.array_contains("_drop", _line_key(x)))
-    words = F.size(words_of(F.col(text)))
-
-    def with_drops(drops: DataFrame) -> DataFrame:
-        return keyed.join(broadcast_if(drops, BROADCAST_ROWS), (F.col("_content_a") == F.col("d_a")) & (F.col("_content_b") == F.col("d_b")), "left")
-
-    joined = with_drops(drops)
-    if near and max_lost < 1.0:
-        lost = words - F.size(words_of(F.array_join(left, " "))) > words * max_lost
-        spared = _spared(keyed, joined, others, drops, lost, doc_id, text, near, scratch)
-        if not small(spared, 0):
-            fewer = F.when(F.col("_own").isNull(), F.col("_drop")).otherwise(F.array_except("_drop", "_own"))
-            joined = with_drops(scratch.keep(drops.join(spared, (F.col("d_a") == F.col("s_a")) & (F.col("d_b") == F.col("s_b")), "left").select("d_a", "d_b", fewer.alias("_drop"))))
-    elif max_lost < 1.0:
-        left = let(left, lambda x: F.when(words - F.size(words_of(F.array_join(x, " "))) <= words * max_lost, x).otherwise(all_lines))
-    step = joined.withColumn("_left", F.when(F.col("_drop").isNotNull(), left))
-    own = [F.when(F.col("_drop").isNull(), F.col(c)).otherwise(F.array_join("_left", "\n")).alias(c) if c == text else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    docs = docs.drop(n_lines, n_dropped)
+    templates, lines = recurring_templates(docs, doc_id=doc_id, text=text, min_documents=min_documents, min_tokens=min_tokens, leading=leading, min_fixed=min_fixed, long_tokens=long_tokens, long_documents=long_documents, equal_texts_once=equal_texts_once, scratch=scratch)
+    first = templates.select("leaf", "template", "whole", *[F.col(f"first.{k}").alias(f"first_{k}") for k in KEY])
+    others = lines.join(broadcast_if(first, BROADCAST_KEYS), ["leaf", "template", "whole"]).where("content_a <> first_content_a or content_b <> first_content_b")
+    drops = scratch.keep(others.groupBy(*KEY).agg(F.collect_set("line").alias("drop")))
+    scratch.only(drops)
+    own = F.col("row").getField(text)
+    joined = nested(docs, **_keys(F.col(text), F.col(doc_id), equal_texts_once)).join(broadcast_if(drops, BROADCAST_ROWS), KEY, "left")
+    all_lines = F.split(own, "\n")
+    left = F.filter(all_lines, lambda x: ~F.array_contains("drop", _line_key(x)))
+    step = joined.withColumn("left", F.when(F.col("drop").isNotNull(), left))
     n = F.coalesce(F.size(all_lines), F.lit(0))
-    return step.select(*own, F.when(F.col(text).isNull(), 0).otherwise(n).alias("n_lines"), F.when(F.col("_drop").isNull(), 0).otherwise(n - F.size("_left")).alias("n_dropped"))
+    kept = unnested(docs, **{text: F.when(F.col("drop").isNull(), own).otherwise(F.array_join("left", "\n")).alias(text)})
+    return step.select(*kept, F.when(own.isNull(), 0).otherwise(n).alias(n_lines), F.when(F.col("drop").isNull(), 0).otherwise(n - F.size("left")).alias(n_dropped))
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    return dedup_lines(docs).select("doc_id", "text", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"))
+    return dedup_lines(docs.select("doc_id", "text")).select("doc_id", "text", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"))
 
 
 SQL = rf"""
@@ -189,7 +147,7 @@ WITH split AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS raw,
 parsed AS (
   SELECT *, list_transform(list_filter(string_split_regex(lower(raw), '[\x20\x09-\x0D]+'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '{FIELD}' ELSE x END) AS tokens FROM split),
 leafed AS (SELECT *, array_to_string(tokens, ' ') AS line, len(tokens) || ' ' || array_to_string(tokens[1:{LEADING}], ' ') AS leaf FROM parsed WHERE len(tokens) >= {MIN_TOKENS}),
-leaves AS (SELECT leaf FROM leafed GROUP BY leaf HAVING count(DISTINCT text) >= {MIN_DOCUMENTS}),
+leaves AS (SELECT leaf FROM leafed GROUP BY leaf HAVING count(DISTINCT text) >= CASE WHEN any_value(len(tokens)) >= {LONG_TOKENS} THEN {LONG_DOCUMENTS} ELSE {MIN_DOCUMENTS} END),
 held AS (SELECT leaf, line, text, min(doc_id) AS id, any_value(tokens) AS tokens FROM leafed WHERE leaf IN (SELECT leaf FROM leaves) GROUP BY leaf, line, text),
 lines AS (SELECT leaf, line, count(*) AS documents, any_value(tokens) AS tokens FROM held GROUP BY leaf, line),
 spread AS (SELECT leaf, line, documents, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM lines),
@@ -200,7 +158,10 @@ made AS (
   GROUP BY s.leaf, s.line HAVING count(CASE WHEN c.token <> '{FIELD}' THEN 1 END) >= count(*) * {MIN_FIXED}),
 matched AS (SELECT h.leaf, h.line, h.text, h.id, m.template FROM held h JOIN made m ON h.leaf = m.leaf AND h.line = m.line),
 recurring AS (SELECT leaf, template, arg_min(text, id) AS first_text FROM matched GROUP BY leaf, template HAVING count(DISTINCT text) >= {MIN_DOCUMENTS}),
-drops AS (SELECT DISTINCT m.text, m.line FROM matched m JOIN recurring r ON m.leaf = r.leaf AND m.template = r.template AND m.text <> r.first_text),
+passages AS (SELECT leaf, line, arg_min(text, id) AS first_text FROM held WHERE len(tokens) >= {LONG_TOKENS} AND len(list_filter(tokens, lambda x: x <> '{FIELD}')) >= len(tokens) * {MIN_FIXED} GROUP BY leaf, line HAVING count(*) >= {LONG_DOCUMENTS}),
+drops AS (
+  SELECT m.text, m.line FROM matched m JOIN recurring r ON m.leaf = r.leaf AND m.template = r.template AND m.text <> r.first_text
+  UNION SELECT h.text, h.line FROM held h JOIN passages p ON h.leaf = p.leaf AND h.line = p.line AND h.text <> p.first_text),
 marked AS (SELECT p.doc_id, p.line_no, p.raw, d.line IS NOT NULL AS gone FROM parsed p LEFT JOIN drops d ON p.text = d.text AND array_to_string(p.tokens, ' ') = d.line)
 SELECT doc_id, coalesce(string_agg(CASE WHEN NOT gone THEN raw END, chr(10) ORDER BY line_no), '') AS text, count(*) AS n_lines, CAST(count(CASE WHEN gone THEN 1 END) AS BIGINT) AS n_dropped
 FROM marked GROUP BY doc_id

@@ -12,8 +12,9 @@ conversation without one, is kept as one more example without loss
 
 Control strings inside roles and texts are escaped reversibly: a backslash is
 doubled, and a backslash goes after the first character of anything that could
-begin a control string of this or the common instruction templates. Escaped
-text never contains a control string, so the output splits on them exactly.
+begin a control string: one of this template or of those with bars (<|...),
+or <s>, </s>, [INST], [/INST], <<SYS>> and <</SYS>>. Escaped text never contains
+one of these, so the output splits on them exactly.
 
 Defined results: null role or text is empty; a null conversation id is a
 conversation; equal turn numbers are ordered by role, then text, nulls first;
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: Places after which an escaping backslash goes.
-_OPENING = r"(<(?=\||/?s>)|\[(?=/?INST\]))"
+_OPENING = r"(<(?=\||/?s>|</?SYS>>)|\[(?=/?INST\]))"
 
 
 def escape(text: Column) -> Column:
@@ -123,6 +124,6 @@ FROM running GROUP BY conv_id
 """
 for _name in ("role", "text"):
     # Every escape adds one character, so an escaped length is that of the text with marks of two characters.
-    _marked = f"regexp_replace(regexp_replace({_name}, '\\\\', '##', 'g'), '<([|]|/?s>)|\\[(/?INST\\])', '##\\1\\2', 'g')"
+    _marked = f"regexp_replace(regexp_replace({_name}, '\\\\', '##', 'g'), '<([|]|/?s>|</?SYS>>)|\\[(/?INST\\])', '##\\1\\2', 'g')"
     SQL = SQL.replace("{" + _name + "}", _marked)
 SQL = SQL.replace("{frame}", str(len(TURN + TEXT + END)))

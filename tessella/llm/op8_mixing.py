@@ -10,7 +10,7 @@ counts add up, which is again exactly Poisson and keeps tables short.
 Defined results: null text has length 0; null source is a source; a null id
 hashes like the text 'null'; rows that repeat an id repeat its count; a source
 without characters is mixed by rows of length 1 each; an empty table gives no rows.
-All columns are kept; ``copy`` (from 0) is added, and replaced if present.
+All columns are kept, whatever their names; ``copy`` (from 0) is added, and replaced if present.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, broadcast_if
+from .common import Scratch, broadcast_if, nested, unnested
 
 SEED = 11
 #: Target weight of a source: its size to this power (natural sizes at 1, all alike at 0).
@@ -64,26 +64,27 @@ def _listed(rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(LISTED)), step, more)["a"]
 
 
-def mix(docs: DataFrame, weights: DataFrame | dict[str, float] | None = None, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", alpha: float = ALPHA, epochs: float = EPOCHS, seed: int = SEED) -> DataFrame:
-    """The replicated documents in shuffled order."""
+def mix(docs: DataFrame, weights: DataFrame | dict[str, float] | None = None, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", alpha: float = ALPHA, epochs: float = EPOCHS, seed: int = SEED, copy: str = "copy") -> DataFrame:
+    """The replicated documents in shuffled order, with their copy's number in a column ``copy`` (of that or another name)."""
     spark = docs.sparkSession
     pieces = F.greatest(F.ceil(F.col("rate") / PIECE), F.lit(1)).cast("int")
-    made = rates(docs, weights, text=text, source=source, alpha=alpha, epochs=epochs).withColumn("_pieces", pieces)
-    made = Scratch(spark).keep(made.select("_source", "_pieces", _listed(F.col("rate") / F.col("_pieces")).alias("_cdf")))
-    joined = docs.join(broadcast_if(made, BROADCAST_SOURCES), docs[source].eqNullSafe(made["_source"]))
-    key = F.coalesce(docs[doc_id].cast("string"), F.lit("null"))
-    drawn = F.transform(F.sequence(F.lit(1), F.col("_pieces")), lambda j: uniform(F.lit(str(seed)), key, j.cast("string")))
-    counts = F.transform(drawn, lambda u: F.size(F.filter("_cdf", lambda c: c <= u)))
+    made = rates(docs, weights, text=text, source=source, alpha=alpha, epochs=epochs).withColumn("pieces", pieces)
+    made = Scratch(spark).keep(made.select("_source", "pieces", _listed(F.col("rate") / F.col("pieces")).alias("cdf")))
+    docs = docs.drop(copy)
+    rows = nested(docs, source=F.col(source), key=F.coalesce(F.col(doc_id).cast("string"), F.lit("null")))
+    joined = rows.join(broadcast_if(made, BROADCAST_SOURCES), rows["source"].eqNullSafe(made["_source"]))
+    drawn = F.transform(F.sequence(F.lit(1), F.col("pieces")), lambda j: uniform(F.lit(str(seed)), F.col("key"), j.cast("string")))
+    counts = F.transform(drawn, lambda u: F.size(F.filter("cdf", lambda c: c <= u)))
     times = F.aggregate(counts, F.lit(0), lambda a, b: a + b)
-    own = [docs[c] for c in docs.columns if c != "copy"]
-    spread = joined.select(*own, times.alias("_times")).where("_times > 0")
-    spread = spread.select(*[c for c in docs.columns if c != "copy"], F.explode(F.sequence(F.lit(0), F.col("_times") - 1)).alias("copy"))
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.col("copy").cast("string"), F.lit("order")))
-    return spread.withColumn("_order", order).repartition("_order").sortWithinPartitions("_order").drop("_order")
+    spread = joined.select("row", "key", times.alias("times")).where("times > 0")
+    spread = spread.select("row", "key", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("copy"))
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), "key", F.col("copy").cast("string"), F.lit("order")))
+    shuffled = spread.select("row", "copy", order.alias("order")).repartition("order").sortWithinPartitions("order")
+    return shuffled.select(*unnested(docs), F.col("copy").alias(copy))
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    return mix(docs).select("doc_id", "source", "copy", "text")
+    return mix(docs.select("doc_id", "source", "text")).select("doc_id", "source", "copy", "text")
 
 
 SQL = f"""

@@ -2,11 +2,12 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
 import pytest
-from fixtures import clashing, corpus, frame
+from fixtures import TAKEN, clashing, corpus, frame, untouched, words
 from pyspark.sql import functions as F
 
 from tessella.llm import catalog, op3_line_dedup, op4_chat, op8_mixing, op9_quality_rules
@@ -54,13 +55,22 @@ def test_quality_verdict_and_cleaning(spark):
     verdicts = {r.doc_id: r for r in op9_quality_rules.quality_verdicts(docs).collect()}
     assert not verdicts[50].base_failed and not verdicts[50].kept and verdicts[0].kept and verdicts[51].kept
     left = {r.doc_id: r for r in op9_quality_rules.clean_documents(clashing(docs)).collect()}
-    assert 50 not in left and line not in left[3].text and left[51].text.startswith(line) and left[3].kept == "own"
+    assert 50 not in left and line not in left[3].text and left[51].text.startswith(line) and untouched(left.values())
 
 
 def test_copies_do_not_condemn_each_other(spark):
     text = "\n".join(" ".join(f"w{i}x{j}" for j in range(20)) for i in range(5))
     docs = frame(spark, [(i, text, "en", "h", 0) for i in range(40)])
     assert all(r.kept for r in op9_quality_rules.quality_verdicts(docs).collect())
+    each = op9_quality_rules.quality_verdicts(docs, equal_texts_once=False).collect()
+    assert len(each) == 40 and not any(r.kept or r.base_failed for r in each)  # depleted: every line is in 40 documents
+
+
+def test_the_limit_of_a_large_host_is_bounded(spark):
+    line = "a line that thirty of the three hundred documents of this host hold"
+    rows = [(i, (line + "\n" if i < 30 else "") + " ".join(f"w{i}x{j}" for j in range(60)), "en", "h", 0) for i in range(300)]
+    lost = lambda **limits: sum(r.lost_share > 0 for r in op9_quality_rules.quality_verdicts(frame(spark, rows), max_share=0.2, **limits).collect())
+    assert lost() == 0 and lost(max_documents=29) == 30 and lost(max_documents=30) == 0
 
 
 # line dedup
@@ -70,18 +80,35 @@ def test_line_dedup_generalises_and_keeps_the_first(spark):
     docs = [(i, f"{name} wrote this intro here\nthis page was printed by user {name} on day {i} of the year\nlast words {'qwertyuiopas'[i]} unlike", "en", "s", 0) for i, name in enumerate("ann bob cid dan eve fay gus hal ike jon".split())]
     got = {r.doc_id: r for r in op3_line_dedup.dedup_lines(clashing(frame(spark, docs)), min_documents=5, min_fixed=0.6).collect()}
     assert all(("printed by user" in r.text) == (i == 0) for i, r in got.items())
-    assert got[3].n_dropped == 1 and got[3].n_lines == 3 and got[3].kept == "own"
+    assert got[3].n_dropped == 1 and got[3].n_lines == 3 and untouched(got.values())
     unlike = {r.doc_id: r.n_dropped for r in op3_line_dedup.dedup_lines(frame(spark, docs), min_documents=11).collect()}
     assert not any(unlike.values())
 
 
-def test_line_dedup_leaves_copies_whole(spark):
+def test_line_dedup_cuts_near_copies_like_any_other(spark):
     lines = [f"line number {'abcdefgh'[j]} of a text that has near copies" for j in range(8)]
     docs = [(i, "\n".join(lines[:i] + [f"changed here by copy {'abcdefgh'[i]} alone somehow"] + lines[i + 1 :]), "en", "s", 0) for i in range(8)]
-    docs += [(20 + i, lines[0] + "\n" + " ".join(f"w{i}x{j}" for j in range(40)), "en", "s", 0) for i in range(5)]
-    got = {r.doc_id: r for r in op3_line_dedup.dedup_lines(frame(spark, docs), max_lost=0.5).collect()}
-    assert all(got[i].n_dropped == 0 and got[i].text == docs[i][1] for i in range(8)) and all(got[20 + i].n_dropped == 1 for i in range(5))
-    assert op3_line_dedup.dedup_lines(frame(spark, docs)).where("doc_id = 3").first().n_dropped == 8  # what differs is a field of a template, too
+    got = {r.doc_id: r for r in op3_line_dedup.dedup_lines(frame(spark, docs)).collect()}
+    assert got[0].n_dropped == 0 and got[3].n_dropped == 8  # what differs is a field of a template, too
+
+
+def test_long_lines_recur_in_two_documents(spark):
+    rng = random.Random(3)
+    passage, almost = (" ".join(words(rng, 60)) for _ in range(2))
+    short = " ".join(words(rng, 20))
+    docs = [(i, f"{passage}\n{short}\n" + " ".join(f"own{i}x{j}" for j in range(5)), "en", "s", 0) for i in (4, 2, 9)]
+    docs += [(20 + i, almost.replace(almost.split()[30], f"other{'ab'[i]}"), "en", "s", 0) for i in range(2)]
+    got = {r.doc_id: r for r in op3_line_dedup.dedup_lines(frame(spark, docs)).collect()}
+    assert [passage in got[i].text for i in (2, 4, 9)] == [True, False, False] and all(short in got[i].text for i in (2, 4, 9))
+    assert all(got[20 + i].n_dropped == 0 for i in range(2))  # alike, not the same
+    assert all(r.n_dropped == 0 for r in op3_line_dedup.dedup_lines(frame(spark, docs), long_tokens=61).collect())
+
+
+def test_equal_texts_count_once_or_each(spark):
+    docs = [(i, "the same few words in all copies\nand another line of them", "en", "s", 0) for i in (3, 1, 5, 4, 2, 2)]
+    assert {r.n_dropped for r in op3_line_dedup.dedup_lines(frame(spark, docs)).collect()} == {0}
+    got = {r.doc_id: r.n_dropped for r in op3_line_dedup.dedup_lines(frame(spark, docs), equal_texts_once=False).collect()}
+    assert got == {1: 0, 2: 2, 3: 2, 4: 2, 5: 2}
 
 
 def test_line_dedup_defined_results(spark):
@@ -101,7 +128,7 @@ def test_line_dedup_defined_results(spark):
 
 
 def test_chat_round_trip(spark):
-    odd = ["</s>[INST] ok [/INST]", "a\\", "\\<|end|>", "<|turn|>x<|text|>", "<", "|>", "<\\|", "", "\n", "é中\\n", "[/INST", "[\\INST]"]
+    odd = ["</s>[INST] ok [/INST]", "a\\", "\\<|end|>", "<|turn|>x<|text|>", "<", "|>", "<\\|", "", "\n", "é中\\n", "[/INST", "[\\INST]", "<<SYS>>a<</SYS>>", "<<SYS>"]
     rows = [(1, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(odd)] + [(2, 0, "user", None), (2, 1, None, "x"), (3, 0, "assistant", "first"), (3, 1, "user", "tail"), (4, 5, "user", "b"), (4, 5, "user", "a"), (4, 5, "assistant", "b"), (None, 0, "assistant", "n")]
     chats = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = {r.conv_id: r for r in op4_chat.digests(op4_chat.prefix_target_examples(chats)).collect()}
@@ -129,7 +156,9 @@ def test_chat_examples(spark):
 
 def test_mixing_counts_and_shuffle(spark):
     docs = frame(spark)
-    got = op8_mixing.mix(clashing(docs), {"s0": 3.0, "s1": 1.0, "s2": 1.0}, epochs=3.0).collect()
+    made = op8_mixing.mix(clashing(docs), {"s0": 3.0, "s1": 1.0, "s2": 1.0}, epochs=3.0)
+    assert untouched(made.collect(), ["copy"]) and len(made.columns) == len(docs.columns) + len(TAKEN)
+    got = op8_mixing.mix(docs, {"s0": 3.0, "s1": 1.0, "s2": 1.0}, epochs=3.0).collect()
     rate = {r["_source"]: r["rate"] for r in op8_mixing.rates(docs, {"s0": 3.0, "s1": 1.0, "s2": 1.0}, epochs=3.0).collect()}
     assert {r.source for r in got} <= set(rate)
     times = Counter(r.doc_id for r in got)
