@@ -10,7 +10,7 @@ is the score.
 
 The model is fitted on a bounded sample, the ``SAMPLE`` labelled rows of least
 hashed id outside the held-out fold, and on ``PAIRS`` of its pairs. Scoring
-reads every whole text in bounded memory.
+reads every whole text, a few megabytes at a time (a longer text by itself).
 
 Defined results: null text is the empty text, scored like any other; null
 labels are ignored, any label above 0 counts as 1; without both labels in the
@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from .batches import slices
 from .shingles import shingle_sets
 
 SAMPLE = 20_000
@@ -35,7 +36,6 @@ PAIRS = 200_000
 CUTOFF = 0.7
 RIDGE = 1e-4
 FOLDS, HELD_OUT = 4, 2
-_SLICE = 512
 
 # Byte classes that are counted.
 _CLASSES = {
@@ -130,8 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, _SLICE):
-                part = batch.slice(lo, _SLICE)
+            for part in slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(features(part.column(2))), pa.list_(pa.float64()))], names=["k_id", "label", "x"])
 
     own = docs.select(F.col(doc_id).alias("own_id"), F.col(text).alias("text"))
@@ -150,8 +149,7 @@ def score(docs: DataFrame, model: Ranking | None, *, doc_id: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, _SLICE):
-                part = batch.slice(lo, _SLICE)
+            for part in slices(batch, "text"):
                 s = model.score(features(part.column(2))) if model else np.full(part.num_rows, cutoff)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s), pa.array((s >= cutoff).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
