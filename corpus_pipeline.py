@@ -1,7 +1,12 @@
 """Corpus pipeline: quality rules, line dedup, near-duplicate join, source mixing, packing.
 
 Every stage takes the documents that its predecessor kept; all but the last
-return the columns of ``documents``, with ``n_chars`` of the text as it is now.
+return the columns of their input (``documents`` and any others, whatever their
+names), with ``n_chars`` of the text as it is now.
+
+Defined results: a null, empty or short text fails the quality rules; rows that
+repeat an id and its text are one document after the join; an empty table gives
+no sequences.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import op1_ngram_join, op2_packing, op3_line_dedup, op8_mixing, op9_quality_rules
-from tessella.llm.common import Scratch, table
+from tessella.llm.common import Scratch, dropping, table, unused
 
 
 def _measured(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -24,11 +29,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring template lines dropped; documents without a word after that go. Of the documents that consist of such
-    lines by more than half, near copies of the one that keeps the lines keep them, too: the next stage removes them."""
-    near = (op1_ngram_join.WORDS, op1_ngram_join.PERCENT)
-    rest = op3_line_dedup.dedup_lines(docs, max_lost=0.5, near=near)
-    return _measured(rest.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")), docs.columns)
+    """Recurring template lines dropped; a document without a word after that goes."""
+    dropped = unused(docs, "n_dropped")
+    rest = op3_line_dedup.dedup_lines(docs, n_lines=unused(docs, "n_lines"), n_dropped=dropped)
+    return _measured(rest.where((F.col(dropped) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,12 +42,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated towards their source's target weight, in shuffled order."""
-    return op8_mixing.mix(docs).select(*docs.columns)
+    return op8_mixing.mix(docs, copy=unused(docs, "copy")).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of full length."""
-    return op2_packing.pack_documents(docs)
+    """Token sequences of full length: the pieces with their ids and places (``op2_packing.sequences`` puts them together)."""
+    return op2_packing.pack_documents(docs, include_ids=True)
 
 
 STAGES = [
@@ -60,8 +64,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, kept = table(spark, sf_dir, "documents"), Scratch(spark)
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = kept.keep(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        with dropping():  # a stage's own tables go when its result is written
+            after = kept.keep(stage(spark, docs, sf_dir))
+        kept.only(after)
+        docs = after
+    return STAGES[-1][1](spark, docs, sf_dir)
