@@ -91,6 +91,15 @@ def test_word_lookup_is_exact(tokenizer):
     assert got == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
 
 
+def test_words_beyond_those_remembered(tokenizer, monkeypatch):
+    monkeypatch.setattr(op2_packing, "_REMEMBERED", 5)
+    encoder, rng = op2_packing.Encoder(op2_packing.vocabulary_path()), random.Random(7)
+    for _ in range(20):
+        texts = [None, *("".join(rng.choice("abÀß '.,!-_<|>09²\u0301\u2028\n\x1c中é") for _ in range(rng.randint(0, 50))) for _ in range(50))]
+        assert encoder.encode(texts) == [np.array(tokenizer.encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert len(encoder.known) <= 5 and encoder.encode([]) == []
+
+
 def test_local_search_empties_bins():
     # Best fit decreasing needs a bin more than exchanges do.
     bins = op2_packing._improve([[6, 3], [5, 4], [1, 1]], 10)
