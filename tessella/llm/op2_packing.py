@@ -5,11 +5,11 @@ needs only how many pieces there are of each length, at most 4,096 numbers, so
 it is planned on this histogram: best-fit decreasing places whole length
 classes at a time, bins of equal content are one pattern with a count, and the
 number of patterns is bounded by the sequence length, not by the corpus. Then a
-local search takes the least filled bins and moves pieces or exchanges them
-one-for-one or two-for-one between them wherever the sum of squared fills
-grows, until bins run empty or no exchange helps. Pieces take the plan's places
-by their rank within their length, found in two levels so that no length class
-is ranked by one task.
+local search over all bins moves pieces or exchanges them one-for-one or
+two-for-one wherever the sum of squared fills grows, bins of equal content at
+once, until the count of bins is proved least by a lower bound or no exchange is
+left between any two bins. Pieces take the plan's places by their rank within
+their length, found in two levels so that no length class is ranked by one task.
 
 Defined results: null text is the empty text, one end token; repeated rows and
 null ids are pieces like any other; an empty table gives no rows; other columns
@@ -19,10 +19,11 @@ are ignored (with ``include_ids`` the token ids come along).
 from __future__ import annotations
 
 import bisect
+import heapq
 import os
 import zlib
 from array import array
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,10 +40,6 @@ from .common import Scratch
 LENGTH = 4096
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-#: Least filled bins that the local search works on.
-WINDOW = 384
-#: Rounds over them at most, if exchanges still help.
-_ROUNDS = 5
 #: Pieces of one length that one task may rank; fewer where they would be more than a task's even share of all.
 RANKED = 1_000_000
 
@@ -197,74 +194,125 @@ def best_fit(counts: dict[int, int], length: int) -> list[tuple[dict[int, int],
     return [x for own in free.values() for x in own]
 
 
+def least(counts: dict[int, int], length: int) -> int:
+    """Martello and Toth's lower bound on the number of bins."""
+    number, tokens = np.zeros(length + 2, np.int64), np.zeros(length + 2, np.int64)
+    for s, n in counts.items():
+        number[s + 1], tokens[s + 1] = n, n * s
+    number, tokens, half = number.cumsum(), tokens.cumsum(), length // 2  # of pieces shorter than the index
+    low = np.arange(half + 1)
+    high = length - low + 1
+    own = number[high] - number[half + 1]  # over half a bin, but leaving room for pieces of ``low``
+    rest = tokens[half + 1] - tokens[low] - (own * length - tokens[high] + tokens[half + 1])
+    return int((number[-1] - number[half + 1] + np.maximum(0, -(-rest // length))).max())
+
+
 def _improve(bins: list[list[int]], length: int) -> list[list[int]]:
-    """Local search: empty bins by moves, one-for-one and two-for-one exchanges that increase the sum of squared fills."""
-    fills = [sum(b) for b in bins]
-    least = -(-sum(fills) // length)
-
-    def better(a: int, b: int, change: int) -> bool:
-        """Moving ``change`` tokens from a to b is feasible and increases fill squared."""
-        return 0 < change and fills[b] + change <= length and (fills[a] - change) ** 2 + (fills[b] + change) ** 2 > fills[a] ** 2 + fills[b] ** 2
-
-    def apply(a: int, b: int, give: list[int], take: list[int]) -> None:
-        for x in give:
-            bins[a].remove(x)
-            bins[b].append(x)
-        for x in take:
-            bins[b].remove(x)
-            bins[a].append(x)
-        change = sum(give) - sum(take)
-        fills[a] -= change
-        fills[b] += change
-
-    def step(a: int) -> bool:
-        best = None
-        for b in range(len(bins)):
-            room = length - fills[b]
-            if b == a or not bins[b] or not room:
-                continue
-            for x in sorted(set(bins[a]), reverse=True):
-                options = [([], x)] if x <= room else []
-                inside = sorted(set(bins[b]))
-                options += [([y], x - y) for y in inside if 0 < x - y <= room]
-                for i, y in enumerate(inside):  # two of the other bin for one of this
-                    j = bisect.bisect_left(inside, x - y - room, i)
-                    if j < len(inside) and (j > i or bins[b].count(y) > 1) and 0 < x - y - inside[j] <= room:
-                        options.append(([y, inside[j]], x - y - inside[j]))
-                for take, change in options:
-                    if better(a, b, change) and (best is None or (fills[b] + change, change) > best[0]):
-                        best = (fills[b] + change, change), b, [x], take
-        if best:
-            apply(a, *best[1:])
-        return best is not None
-
-    for _ in range(_ROUNDS):
+    """``exchanged`` over single bins."""
+    out = exchanged([(dict(Counter(b)), 1) for b in bins], length)
+    return [[s for s, k in bin_.items() for _ in range(k)] for bin_, n in out for _ in range(n)]
+
+
+def exchanged(patterns: list[tuple[dict[int, int], int]], length: int) -> list[tuple[dict[int, int], int]]:
+    """Local search: moves, one-for-one and two-for-one exchanges that increase the sum of squared fills empty bins, until the
+    lower bound is reached or no exchange is left between any two bins. Equal bins take an exchange together.
+
+    A bin a gives the piece x to b and takes pieces of b that sum to y < x. That is feasible and increases the sum if b's new
+    room, its room + y - x, is at least 0 and below a's room. So b's exchanges are indexed by its room + y, and for each x the
+    first of them from x on, whose y is below x, is the one that fills b most. A full bin has no such exchange."""
+    done: dict[tuple[tuple[int, int], ...], int] = defaultdict(int)  # full bins
+    own: dict[tuple[tuple[int, int], ...], int] = {}  # number of the pattern, for those not full
+    keys: list[tuple[tuple[int, int], ...]] = []
+    copies: list[int] = []
+    rooms: list[int] = []
+    ends: list[list[int]] = []  # room + y of every exchange
+    index: list[list[tuple[int, int]]] = [[] for _ in range(length + 1)]  # heaps of (y, pattern)
+    first = np.full(length + 1, length + 1)  # least y in each
+    sizes: dict[int, int] = defaultdict(int)
+
+    def trim(end: int, out: int = -1) -> None:
+        heap = index[end]
+        while heap and (heap[0][1] == out or not copies[heap[0][1]]):
+            heapq.heappop(heap)
+        first[end] = heap[0][0] if heap else length + 1
+
+    def offer(i: int) -> None:
+        for end in ends[i]:
+            heapq.heappush(index[end], (end - rooms[i], i))
+            first[end] = index[end][0][0]
+
+    def add(bin_: dict[int, int], n: int) -> None:
+        key = tuple(sorted((s, k) for s, k in bin_.items() if k))
+        room = length - sum(s * k for s, k in key)
+        if not room:
+            done[key] += n
+        elif key in own and copies[own[key]]:
+            copies[own[key]] += n
+        elif key:
+            own[key] = len(keys)
+            keys.append(key)
+            copies.append(n)
+            rooms.append(room)
+            pairs = {s + t for i, (s, k) in enumerate(key) for t, _ in key[i + (k < 2) :]}
+            ends.append([room + y for y in {0, *(s for s, _ in key), *pairs}])
+            offer(own[key])
+
+    def remove(i: int, n: int) -> None:
+        copies[i] -= n
+        if not copies[i]:
+            for end in ends[i]:
+                if index[end] and index[end][0][1] == i:
+                    trim(end)
+
+    def step(a: int) -> int:
+        """Makes the best exchange of pattern a; returns how many bins became empty, or -1 without one."""
+        alone, best = copies[a] == 1, None
+        if alone:  # a bin makes no exchange with itself
+            lifted = [end for end in ends[a] if index[end] and index[end][0][1] == a]
+            for end in lifted:
+                trim(end, a)
+        for x, _ in reversed(keys[a]):
+            open_ = first[x : x + rooms[a]] < x
+            at = int(open_.argmax())
+            if open_[at]:
+                y, b = index[x + at][0]
+                if best is None or (at, y - x) < best[0]:
+                    best = (at, y - x), b, x, y
+        if alone:
+            for end in lifted:
+                heapq.heappush(index[end], (end - rooms[a], a))
+                first[end] = index[end][0][0]
+        if best is None:
+            return -1
+        _, b, x, y = best
+        n = copies[a] // 2 if a == b else min(copies[a], copies[b])
+        give, take = dict(keys[a]), dict(keys[b])
+        back = [] if not y else [y] if y in take else next([s, y - s] for s in take if take.get(y - s, 0) > (2 * s == y))
+        remove(b, n)
+        remove(a, n)
+        for s, bin_, other in [(x, give, take), *((s, take, give) for s in back)]:
+            bin_[s] -= 1
+            other[s] = other.get(s, 0) + 1
+        add(give, n)
+        add(take, n)
+        return 0 if any(give.values()) else n
+
+    for bin_, n in patterns:
+        add(bin_, n)
+        for s, k in bin_.items():
+            sizes[s] += n * k
+    spare, changed = sum(n for _, n in patterns) - least(sizes, length), True
+    while spare > 0 and changed:
         changed = False
-        for a in sorted(range(len(bins)), key=lambda i: fills[i]):
-            if sum(1 for b in bins if b) <= least:
-                break
-            while bins[a] and step(a):
-                changed = True
-        if not changed:
-            break
-    return [b for b in bins if b]
+        for a in sorted((i for i, n in enumerate(copies) if n), key=lambda i: -rooms[i]):
+            while spare > 0 and copies[a] and (emptied := step(a)) >= 0:
+                spare, changed = spare - emptied, True
+    return [(dict(k), n) for k, n in [*done.items(), *((keys[i], n) for i, n in enumerate(copies) if n)]]
 
 
-def plan(counts: dict[int, int], length: int = LENGTH, window: int = WINDOW) -> list[tuple[dict[int, int], int]]:
+def plan(counts: dict[int, int], length: int = LENGTH) -> list[tuple[dict[int, int], int]]:
     """Patterns with counts that place every piece of the histogram."""
-    groups = sorted(best_fit(counts, length), key=lambda g: sum(s * k for s, k in g[0].items()))
-    loose, kept = [], []
-    for bin_, n in groups:
-        taken = min(n, window - len(loose))
-        loose += [[s for s, k in bin_.items() for _ in range(k)] for _ in range(taken)]
-        if n > taken:
-            kept.append((bin_, n - taken))
-    for b in _improve(loose, length):
-        own: dict[int, int] = defaultdict(int)
-        for s in b:
-            own[s] += 1
-        kept.append((dict(own), 1))
-    return kept
+    return exchanged(best_fit(counts, length), length)
 
 
 def _segments(patterns: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
@@ -282,11 +330,11 @@ def _segments(patterns: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarra
     return {s: np.array(x, dtype=np.int64) for s, x in out.items()}
 
 
-def pack(cut: DataFrame, *, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
+def pack(cut: DataFrame, *, length: int = LENGTH) -> DataFrame:
     """``cut`` (written pieces with a column ``length``) with ``sequence_id`` and ``offset``."""
     ship(cut.sparkSession)
     sizes = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # one row for each length
-    segments = _segments(plan(sizes, length, window))
+    segments = _segments(plan(sizes, length))
     most = max(1, min(RANKED, sum(sizes.values()) // int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     split = {s: -(-n // most) for s, n in sizes.items() if n > most}
     chunks = F.get(F.split(F.lit(",".join(str(split.get(s, 1)) for s in range(length + 1))), ",").cast("array<int>"), F.col("length").cast("int"))
@@ -317,15 +365,15 @@ def pack(cut: DataFrame, *, length: int = LENGTH, window: int = WINDOW) -> DataF
     return ranked.mapInArrow(settle, schema)
 
 
-def pack_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, end_id: int = END_ID, vocabulary: str = VOCABULARY, window: int = WINDOW, include_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, end_id: int = END_ID, vocabulary: str = VOCABULARY, include_ids: bool = False) -> DataFrame:
     """Tokenise, cut and pack: (doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids]).
     Token ids take no part in ranking and placing; they are joined to the placed pieces at the end."""
     scratch = Scratch(docs.sparkSession)
     cut = pieces(docs, doc_id=doc_id, text=text, length=length, end_id=end_id, vocabulary=vocabulary, include_ids=include_ids)
     if not include_ids:
-        return pack(scratch.keep(cut, BATCH), length=length, window=window)
+        return pack(scratch.keep(cut, BATCH), length=length)
     cut = scratch.keep(cut.withColumn("row", F.monotonically_increasing_id()), BATCH)
-    placed = scratch.keep(pack(cut.drop("ids"), length=length, window=window))
+    placed = scratch.keep(pack(cut.drop("ids"), length=length))
     return placed.join(cut.select("row", "ids"), "row").drop("row")
 
 

@@ -115,6 +115,33 @@ def test_local_search_empties_bins():
     assert placed == counts
 
 
+def improvable(one, other, length):
+    """Whether a piece of ``one`` against none, one or two of ``other`` increases the sum of squared fills."""
+    a, b = sum(one), sum(other)
+    given = [0, *other, *(s + t for i, s in enumerate(other) for t in other[i + 1 :])]
+    return any(x > y and b + x - y <= length and b + x - y > a for x in set(one) for y in given)
+
+
+@pytest.mark.parametrize("low,high,n,length", [(17, 33, 9000, 100), (5, 60, 700, 97), (3, 12, 4000, 25)])
+def test_local_search_covers_all_bins(low, high, n, length):
+    counts = Counter(np.random.default_rng(low).integers(low, high, n).tolist())
+    patterns = op2_packing.plan(dict(counts), length)
+    placed = Counter()
+    for bin_, k in patterns:
+        placed.update({s: c * k for s, c in bin_.items()})
+    assert placed == counts
+    bins = [([s for s, c in bin_.items() for _ in range(c)], k) for bin_, k in patterns]
+    if sum(k for _, k in bins) > op2_packing.least(counts, length):  # no exchange is left between any two bins
+        assert not any(improvable(a, b, length) for i, (a, k) in enumerate(bins) for j, (b, _) in enumerate(bins) if i != j or k > 1)
+
+
+def test_local_search_beyond_a_few_hundred_bins():
+    counts = Counter(np.random.default_rng(4).integers(700, 1300, 20_000).tolist())
+    started = sum(n for _, n in op2_packing.best_fit(counts, 4096))
+    assert sum(n for _, n in op2_packing.plan(counts, 4096)) < 0.96 * started
+    assert op2_packing.least({51: 3, 50: 2, 49: 3, 2: 1}, 100) == 5 and op2_packing.least({10: 21}, 100) == 3
+
+
 # html
 
 
