@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from fixtures import TAKEN, clashing, corpus, frame, untouched, words
 from pyspark.sql import functions as F
@@ -263,6 +264,54 @@ def test_fit_minimises_the_pairwise_loss():
     assert abs(below - (label == 0).mean()) < 0.01  # the cutoff is the quantile at the share of label 0
 
 
+def labelled(spark, n):
+    """Documents, labels and, for the training rows, statistics and labels."""
+    rng = random.Random(n)
+    rows = [(i, " ".join(rng.choice(["the", "model", "of", "10", "||", "#x", "Cat."]) for _ in range(rng.randint(0, 12)))) for i in range(n)]
+    marks = [(i, int(t.count("|") + rng.randint(0, 6) < 5)) for i, t in rows]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int")
+    own = [i for i in range(n) if zlib.crc32(str(i).encode()) % 4 != 2]
+    return docs, labels, op6_quality_classifier.features(pa.array([rows[i][1] for i in own])), np.array([marks[i][1] for i in own])
+
+
+def test_fit_takes_all_pairs(spark):
+    docs, labels, x, label = labelled(spark, 900)
+    model = op6_quality_classifier.train(docs, labels)
+    d = (x[label == 1][:, None] - x[label == 0][None]).reshape(-1, x.shape[1])
+    slope = -(d / (1 + np.exp(d @ model.weights))[:, None]).mean(axis=0) + op6_quality_classifier.RIDGE * model.weights
+    assert len(d) > 50_000 and np.abs(slope).max() < 1e-8
+    share, u = (label == 0).mean(), x @ model.weights
+    assert abs(model.cutoff - np.quantile(u, [share - 0.002, share + 0.002]).mean()) < 1e-9
+
+
+def test_fit_takes_all_labelled_rows(spark):
+    docs, labels, x, label = labelled(spark, 32_000)
+    assert len(x) > 23_000
+    model, want = op6_quality_classifier.train(docs, labels), op6_quality_classifier.Ranking.fit(x, label)
+    assert np.abs(model.weights - want.weights).max() < 1e-6 and abs(model.cutoff - want.cutoff) < 1e-6
+
+
+def test_pairwise_sums_are_those_of_all_pairs():
+    rng = np.random.default_rng(2)
+    x, label = rng.random((120, 4)), np.arange(120) % 3 % 2
+    d = (x[label == 1][:, None] - x[label == 0][None]).reshape(-1, 4)
+    for scale in (0, 1, 30):
+        w, sums = rng.normal(size=4) * scale, {}
+        op6_quality_classifier._add_moments(sums, x[:50], label[:50], w)
+        op6_quality_classifier._add_moments(sums, x[50:], label[50:], w)
+        value, slope, curve = op6_quality_classifier._all_pairs_loss(sums, 4)
+        p = 1 / (1 + np.exp(d @ w))
+        assert abs(value - np.logaddexp(0, -d @ w).mean()) < 1e-11
+        assert np.abs(slope + (d * p[:, None]).mean(axis=0)).max() < 1e-11 and np.abs(curve - (d * (p * (1 - p))[:, None]).T @ d / len(d)).max() < 1e-11
+
+
+def test_strengths_of_given_ranks_are_exact(spark):
+    values = [-3.5, -0.0, 0.0, 1e-300, -1e-300, 2.0, 2.0, 2.0, 7e9, -7e9, 0.1, 0.3]
+    rows = spark.createDataFrame([(i % 2, [v]) for i, v in enumerate(values)], "label int, x array<double>")
+    got = [op6_quality_classifier._ranked(rows, np.ones(1), [k, k + 1]) for k in range(len(values) - 1)]
+    assert got == [[a, b] for a, b in zip(sorted(values), sorted(values)[1:], strict=False)]
+
+
 # sharding
 
 
