@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import estimated_bytes
@@ -13,10 +13,12 @@ THETA_STRATEGIES = ("nested_loop", "replicated", "ranges")
 BROADCAST_BYTES = 256 << 20
 #: Distinct keys up to which theta keys are replicated through a broadcast.
 REPLICATED_KEYS = 10_000
-
-
-def _broadcast(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if estimated_bytes(df) <= BROADCAST_BYTES else df.hint("merge")
+#: Pairs of rows that a key may make in one task; a key with more is dealt over several.
+PAIRS = 8_000_000
+#: Pairs that a task of a nested-loop join tests.
+TESTED = 64_000_000
+#: Tasks that dealing asks for at most; beyond, each takes more chunks, one after the other.
+TASKS = 20_000
 
 
 def semi_filter(s: DataFrame, r: DataFrame, key: str | list[str]) -> DataFrame:
@@ -31,10 +33,41 @@ def anti_filter(s: DataFrame, r: DataFrame, key: str | list[str]) -> DataFrame:
     return s.join(r.select(*keys).distinct(), keys, "left_anti")
 
 
-def equi_join(r: DataFrame, s: DataFrame, key: str | list[str], strategy: str = "auto") -> DataFrame:
+def _hot(r: DataFrame, s: DataFrame, keys: list[str], pairs: int) -> DataFrame | None:
+    """(keys, _chunks, _copied) of the keys that make more than ``pairs`` pairs, None if there are none. Each stands for
+    that many rows of the result, so they are few against it."""
+    sides = r.select(*keys, F.lit(1).alias("_r"), F.lit(0).alias("_s")).unionByName(s.select(*keys, F.lit(0).alias("_r"), F.lit(1).alias("_s")))
+    counted = sides.dropna(subset=keys).groupBy(*keys).agg(F.sum("_r").cast("double").alias("_r"), F.sum("_s").cast("double").alias("_s"))
+    found = counted.where(F.col("_r") * F.col("_s") > pairs).select(*keys, F.ceil(F.col("_r") * F.col("_s") / pairs).alias("_chunks"), (F.col("_r") <= F.col("_s")).alias("_copied"))
+    rows = found.collect()
+    return r.sparkSession.createDataFrame(rows, found.schema) if rows else None
+
+
+def _dealt_join(r: DataFrame, s: DataFrame, keys: list[str], hint: str, pairs: int | None = None, counted: DataFrame | None = None) -> DataFrame:
+    """r joined with s by exchange. The larger side of a key that makes more than ``pairs`` pairs is dealt over chunks by a
+    hash of its rows, to each of which the smaller side is copied, so no key has to be joined by one task; only exact
+    copies of a row share a chunk. ``counted`` has the keys of s, if that is cheaper to read."""
+    hot = _hot(r, s if counted is None else counted, keys, pairs or PAIRS)
+    if hot is None:
+        return r.hint(hint).join(s, keys)
+
+    def dealt(df: DataFrame, copied: Column) -> DataFrame:
+        hashed = [f.name for f in df.schema if "map<" not in f.dataType.simpleString()]
+        own = F.pmod(F.xxhash64(*hashed), "_chunks")
+        chunks = F.when(F.col("_chunks").isNull(), F.array(F.lit(0).cast("long"))).when(copied, F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1)).otherwise(F.array(own))
+        out = df.join(F.broadcast(hot), keys, "left").withColumn("_chunk", F.explode(chunks)).drop("_chunks", "_copied")
+        return out.repartition(tasks, *keys, "_chunk")
+
+    chunks = hot.agg(F.sum("_chunks")).first()[0]
+    tasks = min(TASKS, max(chunks, int(r.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return dealt(r, F.col("_copied")).hint(hint).join(dealt(s, ~F.col("_copied")), [*keys, "_chunk"]).drop("_chunk")
+
+
+def equi_join(r: DataFrame, s: DataFrame, key: str | list[str], strategy: str = "auto", pairs: int | None = None) -> DataFrame:
     """Inner join on ``key``; r's columns come first whatever side is built.
 
-    shuffle_hash: both sides dealt by key, r built as a hash table.
+    shuffle_hash: both sides dealt by key, r built as a hash table. Keys that make more than ``pairs`` pairs, here and in
+      merge joins, are counted first and dealt over several tasks.
     merge: both sides dealt by key and sorted, one side's group held at a time.
     broadcast: r sent to every task if its estimated size is within a bound, else merge.
     semi_reduced: rows of s without a match are dropped before the shuffle, then merge.
@@ -43,14 +76,14 @@ def equi_join(r: DataFrame, s: DataFrame, key: str | list[str], strategy: str =
     if strategy == "auto":
         return r.join(s, keys)
     if strategy in ("shuffle_hash", "merge"):
-        return r.hint(strategy).join(s, keys)
+        return _dealt_join(r, s, keys, strategy, pairs)
     if strategy == "broadcast":
-        return _broadcast(r).join(s, keys)
+        return F.broadcast(r).join(s, keys) if estimated_bytes(r) <= BROADCAST_BYTES else _dealt_join(r, s, keys, "merge", pairs)
     if strategy == "semi_reduced":
         few = r.select(*keys).distinct()
         # Size of the whole of r bounds that of its keys.
         sent = F.broadcast(few) if estimated_bytes(r.select(*keys)) <= BROADCAST_BYTES else few
-        return r.hint("merge").join(s.join(sent, keys, "left_semi"), keys)
+        return _dealt_join(r, s.join(sent, keys, "left_semi"), keys, "merge", pairs, s)
     raise ValueError(f"strategy is one of {STRATEGIES}")
 
 

@@ -55,3 +55,15 @@ def test_filters_keep_duplicates(spark):
 def test_several_keys(spark):
     a, b = spark.createDataFrame([(1, 2, "x")], "k int, l int, v string"), spark.createDataFrame([(1, 2, "y"), (1, 3, "z")], "k int, l int, w string")
     assert rows(joins.equi_join(a, b, ["k", "l"], "merge")) == [(1, 2, "x", "y")]
+
+
+@pytest.mark.parametrize("strategy", ["shuffle_hash", "merge", "semi_reduced"])
+def test_hot_keys_are_dealt_over_tasks(spark, strategy):
+    """One key with few rows on the left, one with few on the right, one without pairs, nulls and copies of rows."""
+    r = spark.createDataFrame([(1, i) for i in range(20)] + [(2, i) for i in range(400)] + [(3, 1), (None, 2), (5, 1), (5, 1)], "key int, x int")
+    s = spark.createDataFrame([(1, i) for i in range(500)] + [(2, i) for i in range(30)] + [(4, 1), (None, 2), (5, 7), (5, 7)], "key int, y int")
+    want = sorted((a["key"], a["x"], b["y"]) for a in r.collect() for b in s.collect() if a["key"] is not None and a["key"] == b["key"])
+    got = joins.equi_join(r, s, "key", strategy, pairs=500)
+    assert rows(got) == want and got.columns == ["key", "x", "y"]
+    tasks = got.groupBy("key", F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()
+    assert max(t["n"] for t in tasks) < 3000 and len({t["p"] for t in tasks if t["key"] == 1}) > 5
