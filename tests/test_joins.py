@@ -67,3 +67,13 @@ def test_hot_keys_are_dealt_over_tasks(spark, strategy):
     assert rows(got) == want and got.columns == ["key", "x", "y"]
     tasks = got.groupBy("key", F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()
     assert max(t["n"] for t in tasks) < 3000 and len({t["p"] for t in tasks if t["key"] == 1}) > 5
+
+
+@pytest.mark.parametrize("strategy", ["nested_loop"])
+def test_theta_pairs_are_dealt_over_tasks(spark, monkeypatch, strategy):
+    monkeypatch.setattr(joins, "TESTED", 10_000)
+    monkeypatch.setattr(joins, "PAIRS", 10_000)
+    r, s = spark.range(300).selectExpr("id AS a").coalesce(1), spark.range(500).selectExpr("id AS b").coalesce(1)
+    got = joins.theta_join(r, s, "a", "b", strategy, 2)
+    tasks = [t["n"] for t in got.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert sum(tasks) == 300 * 299 // 2 and max(tasks) < 16_000
