@@ -69,7 +69,7 @@ def test_hot_keys_are_dealt_over_tasks(spark, strategy):
     assert max(t["n"] for t in tasks) < 3000 and len({t["p"] for t in tasks if t["key"] == 1}) > 5
 
 
-@pytest.mark.parametrize("strategy", ["nested_loop"])
+@pytest.mark.parametrize("strategy", ["nested_loop", "ranges"])
 def test_theta_pairs_are_dealt_over_tasks(spark, monkeypatch, strategy):
     monkeypatch.setattr(joins, "TESTED", 10_000)
     monkeypatch.setattr(joins, "PAIRS", 10_000)
