@@ -51,3 +51,28 @@ def test_literal_graph_drops_nothing(spark):
     e = spark.createDataFrame([("A", "D"), ("B", "A"), ("C", "A"), ("C", "B"), ("D", "A"), ("D", "C")], "src string, dst string")
     ranks = {r["id"]: r["rank"] for r in graph.pagerank_unnormalised(e, 20).collect()}
     assert set(ranks) == set("ABCD") and sum(ranks.values()) == pytest.approx(4, abs=1e-6)
+
+
+def grouped(spark):
+    """Edges of which some go through groups, and the same edges made; groups 3 and 4 have one side only, and a null makes none."""
+    plain = spark.createDataFrame([("a", "b"), ("b", "x"), ("x", "c"), ("x", "c"), ("y", "a")], "src string, dst string")
+    out = spark.createDataFrame([("a", 1), ("a", 1), ("b", 1), ("y", 2), ("a", 2), ("z", 3), ("c", None)], "src string, via int")
+    into = spark.createDataFrame([(1, "b"), (1, "c"), (1, "c"), (2, "y"), (2, "c"), (4, "w"), (None, "b")], "via int, dst string")
+    return graph.Edges(plain, out, into), plain.union(out.join(into, "via").select("src", "dst"))
+
+
+def test_edges_through_groups_rank_as_if_made(spark):
+    edges, made = grouped(spark)
+    ranked = lambda df: {r["id"]: r["rank"] for r in df.collect()}
+    assert ranked(graph.pagerank(edges)) == pytest.approx(two_step([tuple(r) for r in made.collect()]), abs=1e-12)
+    for ranks in (graph.pagerank_simple, graph.pagerank_unnormalised):
+        assert ranked(ranks(edges, 4)) == pytest.approx(ranked(ranks(made, 4)), abs=1e-12)
+    assert sorted(map(tuple, graph.out_degree(edges).collect())) == sorted(map(tuple, graph.out_degree(made).collect()))
+    assert graph.dangling_mass(edges).first()["loss"] == pytest.approx(graph.dangling_mass(made).first()["loss"])
+
+
+def test_cycle_leaves_edges_of_groups_unmade(spark, sf_dir):
+    from tessella.plans import queries
+
+    edges = queries.cycle_graph(spark, sf_dir)
+    assert isinstance(edges, graph.Edges) and edges.plain.count() == sum(spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in ("customer", "supplier"))
