@@ -76,3 +76,25 @@ def test_cycle_leaves_edges_of_groups_unmade(spark, sf_dir):
 
     edges = queries.cycle_graph(spark, sf_dir)
     assert isinstance(edges, graph.Edges) and edges.plain.count() == sum(spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in ("customer", "supplier"))
+
+
+def test_adjacency_in_parts(spark, tmp_path):
+    from tessella.sources import readers, sinks
+
+    edges, made = grouped(spark)
+    want = sorted(map(tuple, made.collect()))
+    for part in (1, 2, 100):
+        rows = graph.adjacency_parts(edges, part).collect()
+        assert sorted((r["id"], t) for r in rows for t in r["targets"]) == want and {r["id"] for r in rows} == {r["id"] for r in graph.vertices(made).collect()}
+    assert len(rows) > len({r["id"] for r in rows}) and all(r["targets"] == sorted(r["targets"]) for r in rows)
+    sinks.write_adjacency(graph.adjacency_parts(edges, 2), str(tmp_path / "a"))
+    assert sorted(map(tuple, readers.read_adjacency(spark, str(tmp_path / "a")).collect())) == want
+
+
+def test_lines_are_taken_apart_before_their_targets(spark, tmp_path):
+    from tessella.sources import readers
+
+    (tmp_path / "a").write_text("a:b,c\n")
+    plan = readers.read_adjacency(spark, str(tmp_path / "a"))._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Generate", 1)
+    assert "split(" not in above and "split(value" in below
