@@ -21,7 +21,7 @@ def terms(docs: DataFrame, text: str = "text", *keep: str) -> DataFrame:
     return docs.select(*keep, F.explode(whitespace_terms(F.col(text))).alias("term"))
 
 
-def _runs(ordered: str) -> Column:
+def runs(ordered: str) -> Column:
     """array<struct<term, n>> of the runs of equal terms in an ordered array, in one pass over it."""
     a = F.col(ordered)
     starts = F.filter(F.transform(a, lambda x, i: F.when((i == 0) | (x != F.get(a, i - 1)), i)), lambda i: i.isNotNull())
@@ -69,7 +69,7 @@ def term_counts(docs: DataFrame, text: str = "text", strategy: str = "combine")
         return terms(docs, text).repartition("term").groupBy("term").agg(F.count("*").alias("cnt"))
     if strategy == "per_line":
         rows = docs.select(F.explode(lines(F.col(text))).alias("line")).select(F.sort_array(whitespace_terms(F.col("line"))).alias("terms"))
-        return rows.select(F.explode(_runs("terms")).alias("run")).groupBy(F.col("run.term").alias("term")).agg(F.sum("run.n").alias("cnt"))
+        return rows.select(F.explode(runs("terms")).alias("run")).groupBy(F.col("run.term").alias("term")).agg(F.sum("run.n").alias("cnt"))
     if strategy == "per_partition":
         return _per_partition(docs, text)
     raise ValueError(f"strategy is one of {STRATEGIES}")

@@ -5,15 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .counts import terms
+from ..functions.text import whitespace_terms
+from .counts import runs
 
 #: Documents in a part of a term's postings.
 PART = 100_000
 
 
 def postings_long(docs: DataFrame, doc: str, text: str = "text") -> DataFrame:
-    """(term, doc, tf), one row per posting."""
-    return terms(docs, text, F.col(doc).cast("string").alias("doc")).groupBy("term", "doc").agg(F.count("*").alias("tf"))
+    """(term, doc, tf), one row per posting. Terms are counted within their row. That is all for documents of one row;
+    only the counts of those of several rows, which a look at the names finds first, are dealt by term and document and added."""
+    rows = docs.select(F.col(doc).cast("string").alias("doc"), F.col(text).alias("text"))
+    repeated = rows.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc").alias("_doc"))
+    names = rows.groupBy("doc").agg(F.count("*").alias("n")).agg(F.count("*").alias("all"), F.coalesce(F.sum((F.col("n") > 1).cast("int")), F.lit(0)).alias("repeated")).first()
+    if not names["repeated"]:
+        return _row_counts(rows)
+    same = F.col("doc").eqNullSafe(F.col("_doc"))
+    several = rows if names["repeated"] == names["all"] else rows.join(repeated, same, "left_semi")
+    added = _row_counts(several).groupBy("term", "doc").agg(F.sum("tf").alias("tf"))
+    return added if several is rows else _row_counts(rows.join(repeated, same, "left_anti")).unionByName(added)
+
+
+def _row_counts(rows: DataFrame) -> DataFrame:
+    """(term, doc, tf) of each row (doc, text)."""
+    ordered = rows.select("doc", F.sort_array(whitespace_terms(F.col("text"))).alias("terms"))
+    return ordered.select("doc", F.explode(runs("terms")).alias("run")).select("run.term", "doc", F.col("run.n").alias("tf"))
 
 
 def postings(docs: DataFrame, doc: str, text: str = "text") -> DataFrame:

@@ -56,3 +56,19 @@ def test_sorted_postings_split_a_common_term(spark):
 def test_line_counts_stay_in_their_row(spark):
     plan = counts.term_counts(spark.createDataFrame([("a",)], "text string"), strategy="per_line")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_postings_of_documents_of_one_row_are_not_dealt(spark):
+    docs = spark.createDataFrame([("d1", "x y x"), ("d2", "x"), (None, None), ("d3", "")], "doc string, text string")
+    df = inverted_index.postings_long(docs, "doc")
+    assert sorted(map(tuple, df.collect())) == [("x", "d1", 2), ("x", "d2", 1), ("y", "d1", 1)]
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_of_documents_of_several_rows_are_added(spark):
+    for rows in ([("d1", "x y"), ("d2", "x"), ("d1", "x"), (None, "x"), (None, "z x")], [("d1", "x"), ("d1", "x y")]):
+        docs, want = spark.createDataFrame(rows, "doc string, text string"), {}
+        for d, t in rows:
+            for term in t.split():
+                want[term, d] = want.get((term, d), 0) + 1
+        assert {(r["term"], r["doc"]): r["tf"] for r in inverted_index.postings_long(docs, "doc").collect()} == want
