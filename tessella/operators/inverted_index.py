@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import whitespace_terms
+from ..scratch import Scratch
 from .counts import runs
 
 #: Documents in a part of a term's postings.
@@ -41,9 +42,11 @@ def postings(docs: DataFrame, doc: str, text: str = "text") -> DataFrame:
 
 def postings_parts(docs: DataFrame, doc: str, text: str = "text", part: int = PART) -> DataFrame:
     """(term, part, postings): a term's postings in parts of about ``part`` documents, so that no term, however common,
-    has to fit in a row or a task. A document's part follows from a hash of its name and the term's document count."""
+    has to fit in a row or a task. A document's part follows from a hash of its name and the term's document count. The
+    counts are a written table, so that postings go through one exchange if it is small."""
     pairs = postings_long(docs, doc, text)
     parts = pairs.groupBy("term").agg(F.ceil(F.count("*") / part).alias("parts")).where("parts > 1")
+    parts = Scratch(docs.sparkSession).keep(parts)
     place = F.conv(F.substring(F.md5("doc"), 1, 13), 16, 10).cast("double") / float(2**52)
     dealt = pairs.join(parts, "term", "left").select("term", "doc", "tf", F.floor(place * F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
     return dealt.groupBy("term", "part").agg(F.sort_array(F.collect_list(F.struct("doc", "tf"))).alias("postings"))

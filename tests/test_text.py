@@ -72,3 +72,9 @@ def test_postings_of_documents_of_several_rows_are_added(spark):
             for term in t.split():
                 want[term, d] = want.get((term, d), 0) + 1
         assert {(r["term"], r["doc"]): r["tf"] for r in inverted_index.postings_long(docs, "doc").collect()} == want
+
+
+def test_parts_take_one_exchange(spark):
+    docs = spark.createDataFrame([(f"d{i}", "x y") for i in range(50)], "doc string, text string")
+    plan = inverted_index.postings_parts(docs, "doc", part=20)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan
